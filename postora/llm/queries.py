@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postora.llm import mixing, sharding
+from postora.llm import mixing, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartitionByRange(F.col("first_position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("repeat_words").alias("n_words"), F.col("repeat_removed").alias("n_removed"), F.sha2("repeat_kept", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"), sharding.Topology.even(16))
     return placed.select("doc_id", F.col("shard_size").alias("size"), F.col("shard_crc32").alias("text_crc32"), F.lit("key").alias("law"), "shard", F.col("shard_slot").cast("long").alias("slot"), F.col("shard_grown").alias("grown_shard"))
@@ -27,7 +32,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_substring": op3_substring,
     "op6_sharding": op6_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring": """
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35),
+        n AS (SELECT doc_id, s, count(*) OVER (PARTITION BY array_to_string(w[s : s + 34], ' ')) AS c FROM p),
+        x AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS i FROM n WHERE c > 1),
+        r AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id),
+        k AS (SELECT doc_id, i, w[i] AS word, len(w) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        t AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.i) AS kept, count(*) AS n FROM k ANTI JOIN x ON k.doc_id = x.doc_id AND k.i = x.i GROUP BY k.doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(t.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN t ON d.doc_id = t.doc_id""",
+}
