@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postora.llm import mixing, sharding, substring
+from postora.llm import minhash, mixing, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("repeat_words").alias("n_words"), F.col("repeat_removed").alias("n_removed"), F.sha2("repeat_kept", 256).alias("kept_sha256"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
+    return found.select("doc_id", F.col("near_shingles").alias("n_shingles"), F.col("near_component").alias("component_id"), F.col("near_kept").alias("kept"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"), sharding.Topology.even(16))
     return placed.select("doc_id", F.col("shard_size").alias("size"), F.col("shard_crc32").alias("text_crc32"), F.lit("key").alias("law"), "shard", F.col("shard_slot").cast("long").alias("slot"), F.col("shard_grown").alias("grown_shard"))
@@ -33,10 +38,23 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_substring": op3_substring,
+    "op5_minhash": op5_minhash,
     "op6_sharding": op6_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_minhash": """
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+        c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        f AS (SELECT sh, doc_id FROM (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY df, sh) AS place, c.n FROM s JOIN c USING (doc_id) JOIN (SELECT sh, count(*) AS df FROM s GROUP BY sh) USING (sh)) WHERE place <= n - ceil(n * 0.8 - 1e-9) + 1),
+        q AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM f x JOIN f y ON x.sh = y.sh AND x.doc_id > y.doc_id),
+        e AS (SELECT a, b FROM (SELECT a, b, count(*) AS shared FROM q JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.sh = y.sh GROUP BY a, b) JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT DISTINCT a AS node, a AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+        m AS (SELECT node, min(reach) AS least FROM r GROUP BY node)
+        SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(m.least, d.doc_id) AS component_id, coalesce(m.least, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id""",
     "op3_substring": """
         WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35),
