@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postora.llm import minhash, mixing, sharding, substring
+from postora.llm import decontaminate, embeddings, minhash, mixing, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("repeat_words").alias("n_words"), F.col("repeat_removed").alias("n_removed"), F.sha2("repeat_kept", 256).alias("kept_sha256"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", F.col("near_links").alias("n_links"), F.col("near_component").alias("component_id"), F.col("near_kept").alias("kept"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2, percent=80)
     return found.select("doc_id", F.col("near_shingles").alias("n_shingles"), F.col("near_component").alias("component_id"), F.col("near_kept").alias("kept"))
@@ -35,14 +40,31 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.col("shard_size").alias("size"), F.col("shard_crc32").alias("text_crc32"), F.lit("key").alias("law"), "shard", F.col("shard_slot").cast("long").alias("slot"), F.col("shard_grown").alias("grown_shard"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item of which the document holds a window."""
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+    return found.select("doc_id", F.explode("leak_found").alias("f")).select("doc_id", F.col("f.item").alias("item_id"), F.col("f.similarity").alias("similarity"), F.col("f.start").alias("first_word"), F.col("f.words").alias("n_words"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_substring": op3_substring,
+    "op4_embeddings": op4_embeddings,
     "op5_minhash": op5_minhash,
     "op6_sharding": op6_sharding,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+        l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id WHERE list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.95),
+        r AS (SELECT DISTINCT a AS node, a AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+        m AS (SELECT node, min(reach) AS least FROM r GROUP BY node),
+        c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(m.least, v.vec_id) AS component_id, coalesce(m.least, v.vec_id) = v.vec_id AS kept
+        FROM v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN m ON m.node = v.vec_id""",
     "op5_minhash": """
         WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
