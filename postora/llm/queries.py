@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postora.llm import decontaminate, embeddings, minhash, mixing, sharding, substring
+from postora.llm import decontaminate, embeddings, minhash, mixing, quality, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leak_found").alias("f")).select("doc_id", F.col("f.item").alias("item_id"), F.col("f.similarity").alias("similarity"), F.col("f.start").alias("first_word"), F.col("f.words").alias("n_words"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")), columns=["doc_id"])
+    return scored.select("doc_id", quality.in_holdout("doc_id").alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_substring": op3_substring,
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_sharding": op6_sharding,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
