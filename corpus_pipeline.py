@@ -1,15 +1,60 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: quality, near-duplicates, benchmark leaks, mixing, sharding.
+
+Each stage takes the documents that the stage before kept and returns the columns of documents; the last adds where
+each document lies.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postora.llm import decontaminate, minhash, mixing, quality, sharding
+from postora.llm.frames import shared_folder
+
+#: A document goes if the classifier holds it likelier than not to be bad.
+LEAST_QUALITY = 0.5
+SHARDS = 16
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, doesn't reject."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return minhash.without_near_duplicates(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("leak_found") == 0).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in training order."""
+    return mixing.in_training_order(mixing.mix(docs)).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with shard, slot and size."""
+    return sharding.assign(docs, sharding.Topology.even(SHARDS))
+
+
+STAGES = [("quality", good_documents), ("near_duplicates", one_of_each), ("decontamination", without_leaks), ("mixing", mixed), ("sharding", sharded)]
 
-STAGES: list = []
+#: A trained model and hashes of shingles are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of sf_dir. What a stage returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        folder = shared_folder(spark)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

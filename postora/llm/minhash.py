@@ -28,7 +28,7 @@ from postora.llm.frames import components, cut, row_keys
 K, NEED = 48, 25
 #: Rounds of pivots before the rest is compared pair by pair.
 ROUNDS = 4
-_SKETCHED = "id long, a long, b long, n int, same1 long, same2 long, sketch array<long>"
+_SKETCHED = "id long, a long, b int, n int, same1 long, same2 long, sketch array<long>"
 
 
 def _sketches(size: int, text: str, key: str, k: int):
@@ -137,15 +137,8 @@ def _links(nodes: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) ->
     return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if links is None else links
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each row of docs: the key, near_shingles (distinct shingles of `shingle` words; fewer words make one,
-    none make none), near_component (the least key that chains of links reach, its own included) and near_kept.
-
-    Two documents are linked where 100 * intersection >= percent * union of their shingles, lower-cased in A-Z. Texts
-    without words (null, empty) are linked with nothing. Rows of equal key and text fare alike; rows of equal key with
-    other texts are documents of their own. A row whose key is null is linked with nothing, has no component and is
-    kept. An empty table gives an empty one.
-    """
+def _classes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """id, a, b, n, component and kept of each row of docs; see near_duplicates."""
     a, b = row_keys(key, text)
     keyed = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), a.alias("_a"), b.alias("_b"))
     rows = cut(keyed.mapInArrow(_sketches(shingle, "_text", "_id", K), _SKETCHED))
@@ -164,4 +157,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes = cut(cut(classes).join(cut(least), "root").select("same1", "same2", "least"))
     own = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
     out = rows.join(classes, ["same1", "same2"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("near_shingles"), own.alias("near_component"), (F.col("id").isNull() | (own == F.col("id"))).alias("near_kept"))
+    return out.select("id", "a", "b", "n", own.alias("component"), (F.col("id").isNull() | (own == F.col("id"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """A row for each row of docs: the key, near_shingles (distinct shingles of `shingle` words; fewer words make one,
+    none make none), near_component (the least key that chains of links reach, its own included) and near_kept.
+
+    Two documents are linked where 100 * intersection >= percent * union of their shingles, lower-cased in A-Z. Texts
+    without words (null, empty) are linked with nothing. Rows of equal key and text fare alike; rows of equal key with
+    other texts are documents of their own. A row whose key is null is linked with nothing, has no component and is
+    kept. An empty table gives an empty one.
+    """
+    found = _classes(docs, key, text, shingle, percent)
+    return found.select(F.col("id").alias(key), F.col("n").cast("long").alias("near_shingles"), F.col("component").alias("near_component"), F.col("kept").alias("near_kept"))
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Of each class of near-duplicates the row with the least key, in all its columns; see near_duplicates."""
+    gone = cut(_classes(docs, key, text, shingle, percent).where(~F.col("kept")).select(F.col("a").alias("_ka"), F.col("b").alias("_kb")).distinct())
+    a, b = row_keys(key, text)
+    return docs.join(gone, (a == F.col("_ka")) & (b == F.col("_kb")), "left_anti")
