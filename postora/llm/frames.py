@@ -37,8 +37,8 @@ def free(name: str, taken: list[str]) -> str:
 
 
 def row_keys(id_column: str, text_column: str) -> tuple[Column, Column]:
-    """Two longs, never null, that tell rows apart by id and whole text. Rows alike in both have the same keys."""
-    return F.coalesce(F.col(id_column), F.lit(0)).cast("long"), F.xxhash64(F.col(id_column).isNull(), F.col(text_column))
+    """A long and an int, never null, that tell rows apart by id and whole text. Rows alike in both have the same keys."""
+    return F.coalesce(F.col(id_column), F.lit(0)).cast("long"), F.hash(F.col(id_column).isNull(), F.col(text_column))
 
 
 def with_running_total(df: DataFrame, group: list[str], order: list[str], amount: Column, out: str, total: str | None = None, digits: int = 3) -> DataFrame:

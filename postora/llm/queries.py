@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postora.llm import decontaminate, embeddings, minhash, mixing, quality, sharding, substring
+from postora.llm import decontaminate, embeddings, licenses, minhash, mixing, quality, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score: the share of a text's words that lie in what was found."""
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"]).select("doc_id", "license_found.*")
+    share = F.coalesce(F.col("covered") / F.nullif("words", F.lit(0)), F.lit(0.0))
+    return found.select("doc_id", F.col("words").alias("n_words"), F.col("base").alias("n_base"), F.col("first").alias("first_word"), F.col("last").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), share.alias("score"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     out = mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_takes") * F.col("mix_size")).alias("taken"), F.get("mix_positions", F.lit(0)).alias("first_position"))
@@ -53,6 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_mixing": op2_mixing,
     "op3_substring": op3_substring,
     "op4_embeddings": op4_embeddings,

@@ -3,7 +3,7 @@
 Of a document's positions only those whose place modulo a period lies in a difference cover are anchored: a hash of
 the `size - period + 1` words from there. For any two places there is a shift below the period that brings both into
 the cover, so two equal windows of `size` words hold equal anchors at the same shift. Anchors that occur once are
-dropped. Those left are extended: the windows of `size` words that hold one are hashed (128 bits), and windows whose
+dropped. Those left are extended: the windows of `size` words that hold one are hashed (95 bits of two hashes), and windows whose
 hash occurs again are the repeats.
 
 Occurrences are counted in each map task before they are shuffled, a block at a time: what a block holds twice needs
@@ -26,7 +26,7 @@ from postora.llm.frames import free, row_keys
 
 #: Occurrences a task holds before it counts and sends them.
 HELD = 1 << 20
-_SENT = "h long, g long, a long, b long, pos int, n int"
+_SENT = "h long, g int, a long, b int, pos int, n int"
 
 
 def difference_cover(period: int) -> list[int]:
@@ -54,24 +54,23 @@ def _counted(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     already known to repeat."""
     h, g, a, b, pos = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((g, h))
-    h, g, a, b, pos = (x[order] for x in (h, g, a, b, pos))
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
     at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(h)))
-    n = np.repeat(count, count)
-    known = n > 1
-    several = at[count > 1]
-    once = ~known
-    zeros = np.zeros(len(several), np.int64)
-    spread = tx.mixed(a[known].view(np.uint64) * np.uint64(31) + b[known].view(np.uint64) + pos[known].astype(np.uint64))
+    count = np.diff(np.append(at, len(h))).astype(np.int32)
+    n = np.empty(len(h), np.int32)
+    n[order] = np.repeat(count, count)
+    # rows stay in the order of documents, in which they take the least room; known places go by their document
+    several, once, known = order[at[count > 1]], n == 1, n > 1
+    by_row = tx.mixed(a[known].view(np.uint64) * np.uint64(31) + b[known].astype(np.uint64))
+    none = lambda x: np.zeros(len(several), x.dtype)
     columns = (
-        np.concatenate([h[once], h[several], spread]).view(np.int64),
-        np.concatenate([g[once], g[several], np.zeros(known.sum(), np.uint64)]).view(np.int64),
-        np.concatenate([a[once], zeros, a[known]]),
-        np.concatenate([b[once], zeros, b[known]]),
-        np.concatenate([pos[once], np.full(len(several), -1, np.int32), pos[known]]),
-        np.concatenate([np.ones(once.sum(), np.int32), count[count > 1].astype(np.int32), np.zeros(known.sum(), np.int32)]),
+        np.concatenate([h[once], h[several], by_row]).view(np.int64),
+        np.concatenate([g[once], g[several], np.zeros(known.sum(), np.int32)]),
+        np.concatenate([a[once], none(a), a[known]]),
+        np.concatenate([b[once], none(b), b[known]]),
+        np.concatenate([pos[once], none(pos), pos[known]]),
+        np.concatenate([n[once], n[several], np.zeros(known.sum(), np.int32)]),
     )
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "g", "a", "b", "pos", "n"])
     for i in range(0, batch.num_rows, 1 << 16):
@@ -109,7 +108,7 @@ def _anchors(size: int, text: str):
             starts = np.flatnonzero(cover[place % period] & (place + length <= words.counts()[row]) & (words.counts()[row] >= size))
             h = tx.windows(words, words.hashes(), length, starts)
             row = row[starts]
-            yield h, np.zeros(len(h), np.uint64), a[row], b[row], place[starts].astype(np.int32)
+            yield h, np.zeros(len(h), np.int32), a[row], b[row], place[starts].astype(np.int32)
 
     return lambda batches: _gathered(rows(batches))
 
@@ -131,7 +130,7 @@ def _extended(size: int, text: str):
             np.add.at(marks, high[good] + 1, -1)
             starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             hashes, row = words.hashes(), words.row_of()[starts]
-            h, g = tx.windows(words, hashes, size, starts, 3), tx.windows(words, words.hashes(4), size, starts, 5)
+            h, g = tx.windows(words, hashes, size, starts, 3), (tx.windows(words, words.hashes(4), size, starts, 5) >> np.uint64(33)).astype(np.int32)
             yield h, g, a[row], b[row], (starts - words.first[row]).astype(np.int32)
 
     return lambda batches: _gathered(rows(batches))
