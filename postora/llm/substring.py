@@ -3,7 +3,7 @@
 Of a document's positions only those whose place modulo a period lies in a difference cover are anchored: a hash of
 the `size - period + 1` words from there. For any two places there is a shift below the period that brings both into
 the cover, so two equal windows of `size` words hold equal anchors at the same shift. Anchors that occur once are
-dropped. Those left are extended: the windows of `size` words that hold one are hashed (95 bits of two hashes), and windows whose
+dropped. Those left are extended: the windows of `size` words that hold one are hashed (80 bits of two hashes), and windows whose
 hash occurs again are the repeats.
 
 Occurrences are counted in each map task before they are shuffled, a block at a time: what a block holds twice needs
@@ -26,7 +26,11 @@ from postora.llm.frames import free, row_keys
 
 #: Occurrences a task holds before it counts and sends them.
 HELD = 1 << 20
-_SENT = "h long, g int, a long, b int, pos int, n int"
+#: A row is a place (x: 16 bits of a second hash, then 32 bits of position), so many places of a block without saying
+#: where (x: the complement of the hash's bits and the number), or a place already known to repeat (x: _KNOWN and the
+#: position). In this order and in the order of documents, rows take the least room in a shuffle.
+_SENT = "h long, x long, a long, b int"
+_KNOWN = 1 << 62
 
 
 def difference_cover(period: int) -> list[int]:
@@ -50,8 +54,7 @@ def _period(size: int) -> int:
 
 
 def _counted(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Rows of _SENT. n = 1: an occurrence that this block has once; n > 1: so many, without a place; n = 0: a place
-    already known to repeat."""
+    """Rows of _SENT for the occurrences h, g, a, b, pos of some blocks."""
     h, g, a, b, pos = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((g, h))
     new = np.ones(len(h), bool)
@@ -64,15 +67,14 @@ def _counted(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     several, once, known = order[at[count > 1]], n == 1, n > 1
     by_row = tx.mixed(a[known].view(np.uint64) * np.uint64(31) + b[known].astype(np.uint64))
     none = lambda x: np.zeros(len(several), x.dtype)
+    second, place = g.astype(np.int64) << 32, pos.astype(np.int64)
     columns = (
         np.concatenate([h[once], h[several], by_row]).view(np.int64),
-        np.concatenate([g[once], g[several], np.zeros(known.sum(), np.int32)]),
+        np.concatenate([second[once] | place[once], ~(second[several] | n[several]), place[known] | _KNOWN]),
         np.concatenate([a[once], none(a), a[known]]),
         np.concatenate([b[once], none(b), b[known]]),
-        np.concatenate([pos[once], none(pos), pos[known]]),
-        np.concatenate([n[once], n[several], np.zeros(known.sum(), np.int32)]),
     )
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "g", "a", "b", "pos", "n"])
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "x", "a", "b"])
     for i in range(0, batch.num_rows, 1 << 16):
         yield batch.slice(i, 1 << 16)
 
@@ -130,7 +132,7 @@ def _extended(size: int, text: str):
             np.add.at(marks, high[good] + 1, -1)
             starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             hashes, row = words.hashes(), words.row_of()[starts]
-            h, g = tx.windows(words, hashes, size, starts, 3), (tx.windows(words, words.hashes(4), size, starts, 5) >> np.uint64(33)).astype(np.int32)
+            h, g = tx.windows(words, hashes, size, starts, 3), (tx.windows(words, words.hashes(4), size, starts, 5) >> np.uint64(48)).astype(np.int32)
             yield h, g, a[row], b[row], (starts - words.first[row]).astype(np.int32)
 
     return lambda batches: _gathered(rows(batches))
@@ -138,8 +140,15 @@ def _extended(size: int, text: str):
 
 def _places(sent: DataFrame) -> DataFrame:
     """The rows' keys and the places in them that occur again anywhere."""
-    total = sent.withColumn("total", F.sum("n").over(Window.partitionBy("h", "g")))
-    return total.where((F.col("n") == 0) | (F.col("n") == 1) & (F.col("total") > 1)).groupBy(F.col("a").alias("_ka"), F.col("b").alias("_kb")).agg(F.collect_set("pos").alias("_hits"))
+    low = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
+    x = F.col("x")
+    plain = F.when(x < 0, F.bitwise_not(x)).otherwise(x)
+    number = F.when(x < 0, low(F.bitwise_not(x))).when(x >= _KNOWN, 0).otherwise(1)
+    # dealt by h alone, so that what follows from x isn't shuffled
+    dealt = sent.repartition("h").withColumn("g", F.shiftright(plain, 32).bitwiseAND(F.lit(65535)))
+    total = dealt.withColumn("total", F.sum(number).over(Window.partitionBy("h", "g")))
+    again = total.where((x >= _KNOWN) | (x >= 0) & (F.col("total") > 1))
+    return again.groupBy(F.col("a").alias("_ka"), F.col("b").alias("_kb")).agg(F.collect_set(low(x).cast("int")).alias("_hits"))
 
 
 def _without(size: int, text: str, kept: str, words_out: str, removed: str, names: list[str]):
