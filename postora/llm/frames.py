@@ -3,29 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster shares and read from there. The folder is taken from
-    spark.checkpoint.dir; only where that is unset, as in tests, a new local one is used."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new name under the checkpoint folder that the cluster shares, for tables that a query writes and reads again.
+    The folder is taken from spark.checkpoint.dir; only where that is unset, as in tests, a new local one is used."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postora-"))
-    return df.checkpoint()
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new name under the checkpoint folder, for tables that a query writes and reads again."""
-    import uuid
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there: lost executors cost no earlier work, what is read again is
+    not computed again, and plans of loops stay small."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
 
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postora-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes what cut() wrote for frames that nothing will read again."""
+    for df in frames:
+        if df is not None and getattr(df, "_folder", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free(name: str, taken: list[str]) -> str:
@@ -68,20 +76,22 @@ def with_running_total(df: DataFrame, group: list[str], order: list[str], amount
 def components(edges: DataFrame) -> DataFrame:
     """edges: longs a and b. Returns node and root, the smallest node that links reach, for each node of a link.
 
-    Large-star and small-star steps in turn: each moves links toward smaller nodes; a step that changes nothing ends
-    them. Nothing but counts comes to the driver. Least neighbours are summed up before they are shuffled and stored,
-    so that the joins with them read two plain exchanges, whose hot keys Spark can split.
+    Large-star and small-star steps in turn, each of which moves links toward smaller nodes, until links are stars.
+    Nothing but counts comes to the driver. Least neighbours are summed up before they are shuffled and stored, so
+    that the joins with them read two plain exchanges, whose hot keys Spark can split.
     """
-    links, n = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), -1
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "a").alias("m")))
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).withColumnRenamed("a", "k"))
         joined = large.join(low, F.col("a") == F.col("k"))
         after = cut(joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        held = after.count()
-        if held == n and not after.exceptAll(links).limit(1).count():
+        # stars: each node has one link downward, and none that is linked to has any
+        several = low.where("c > 1").limit(1).count()
+        chained = several or after.join(low.select("k"), F.col("b") == F.col("k"), "left_semi").limit(1).count()
+        forget(links, least, low)
+        links = after
+        if not chained:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        links, n = after, held

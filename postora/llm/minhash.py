@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import components, cut, row_keys
+from postora.llm.frames import components, cut, forget, row_keys
 
 K, NEED = 48, 25
 #: Rounds of pivots before the rest is compared pair by pair.
@@ -133,7 +133,8 @@ def _links(nodes: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) ->
         links = cut(found if links is None else links.union(found))
         if last:
             break
-        roots = cut(components(links))
+        forget(roots)
+        roots = components(links)
     return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if links is None else links
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postora.llm import decontaminate, embeddings, licenses, minhash, mixing, quality, sharding, substring
+from postora.llm import decontaminate, embeddings, licenses, minhash, mixing, quality, sharding, substring, tokens, warc
+from postora.llm.frames import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.col("shard_size").alias("size"), F.col("shard_crc32").alias("text_crc32"), F.lit("key").alias("law"), "shard", F.col("shard_slot").cast("long").alias("slot"), F.col("shard_grown").alias("grown_shard"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    warc.records(_table(spark, sf_dir, "pages")).write.parquet(folder)
+    found = warc.read(spark.read.parquet(folder))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.count(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
+    return found.select("doc_id", F.col("token_count.words").alias("n_words"), F.col("token_count.tokens").alias("n_tokens"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item of which the document holds a window."""
     found = decontaminate.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), columns=["doc_id"])
@@ -66,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embeddings": op4_embeddings,
     "op5_minhash": op5_minhash,
     "op6_sharding": op6_sharding,
+    "op7_warc": op7_warc,
+    "op8_tokens": op8_tokens,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
