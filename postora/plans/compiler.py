@@ -44,7 +44,11 @@ def _(node: ast.Phrase, fields: dict[str, Field]) -> Column:
         return F.lit(False)
     own = fields[node.field]
     placed = F.arrays_zip(F.col(own.values).alias("t"), F.col(own.positions).alias("i"))
-    bases = [F.transform(F.filter(placed, lambda z, t=t: z["t"] == t), lambda z, p=p: z["i"] - p) for t, p in zip(node.terms, node.positions)]
+
+    def bases_of(term: str, position: int) -> Column:
+        return F.transform(F.filter(placed, lambda z: z["t"] == term), lambda z: z["i"] - position)
+
+    bases = [bases_of(t, p) for t, p in zip(node.terms, node.positions)]
     # the cheap test of all terms goes first
     every = reduce(Column.__and__, [F.array_contains(own.values, t) for t in dict.fromkeys(node.terms)])
     return every & (F.size(reduce(F.array_intersect, bases)) > 0)

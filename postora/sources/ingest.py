@@ -58,7 +58,12 @@ def superseded(docs: DataFrame, uid: str = "uid", doc_id: str = "doc_id") -> Dat
 
 def postings_of(docs: DataFrame, fields: dict[str, Field]) -> DataFrame:
     """A row for each occurrence of a term."""
-    each = [F.transform(F.arrays_zip(F.col(f.values).alias("term"), F.col(f.positions).alias("position")), lambda z, name=name: F.struct(F.lit(name).alias("field"), z["term"].alias("term"), z["position"].alias("position"))) for name, f in fields.items()]
+
+    def rows(name: str, f: Field) -> Column:
+        placed = F.arrays_zip(F.col(f.values).alias("term"), F.col(f.positions).alias("position"))
+        return F.transform(placed, lambda z: F.struct(F.lit(name).alias("field"), z["term"].alias("term"), z["position"].alias("position")))
+
+    each = [rows(name, f) for name, f in fields.items()]
     return docs.select("doc_id", F.explode(F.concat(*each)).alias("p")).select("p.field", "p.term", "doc_id", "p.position")
 
 
@@ -75,10 +80,13 @@ def from_documents(documents: DataFrame, order: Sequence[str] = (), start: int =
     if fields is None:
         fields = [r[0] for r in documents.select(F.explode("fields.name").alias("n")).distinct().orderBy("n").collect()]  # a row for each field name
     named = _named(fields)
-    columns = []
+    columns, none = [], F.array().cast("array<struct<value:string,position:int,weight:int>>")
+
+    def tokens(name: str) -> Column:
+        return F.coalesce(F.flatten(F.transform(F.filter("fields", lambda x: x["name"] == name), lambda x: F.coalesce(x["tokens"], none))), none)
+
     for name, f in named.items():
-        own = F.flatten(F.transform(F.filter("fields", lambda x, name=name: x["name"] == name), lambda x: F.coalesce(x["tokens"], F.array().cast("array<struct<value:string,position:int,weight:int>>"))))
-        own = F.coalesce(own, F.array().cast("array<struct<value:string,position:int,weight:int>>"))
+        own = tokens(name)
         columns += [own["value"].alias(f.values), F.transform(own, lambda t: F.coalesce(t["position"], F.lit(NO_POSITION))).alias(f.positions), as_numbers(own["value"]).alias(f.numbers)]
     docs = superseded(documents.select("doc_id", F.col("object_id").cast("long").alias("uid"), *columns))
     kept = documents.where("doc is not null").select("doc_id", "doc.uid", "doc.fields")
