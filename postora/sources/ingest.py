@@ -63,7 +63,8 @@ def postings_of(docs: DataFrame, fields: dict[str, Field]) -> DataFrame:
         placed = F.arrays_zip(F.col(f.values).alias("term"), F.col(f.positions).alias("position"))
         return F.transform(placed, lambda z: F.struct(F.lit(name).alias("field"), z["term"].alias("term"), z["position"].alias("position")))
 
-    each = [rows(name, f) for name, f in fields.items()]
+    none = F.array().cast("array<struct<field:string,term:string,position:int>>")
+    each = [none, *(rows(name, f) for name, f in fields.items())]
     return docs.select("doc_id", F.explode(F.concat(*each)).alias("p")).select("p.field", "p.term", "doc_id", "p.position")
 
 
