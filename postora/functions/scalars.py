@@ -88,7 +88,7 @@ def is_power_of_two(n: Column) -> Column:
 
 def next_power_of_two(n: Column) -> Column:
     """The least power of two from n on, for n from 0 to 2**62."""
-    return F.when(n <= 1, n.cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.char_length(F.bin(n.cast("long") - 1))))
+    return F.when(n <= 1, n.cast("long")).otherwise(F.pow(F.lit(2.0), F.char_length(F.bin(n.cast("long") - 1))).cast("long"))
 
 
 def crc32(data: Column) -> Column:
