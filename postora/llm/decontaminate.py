@@ -65,7 +65,7 @@ class Index:
             votes.append(_bits(found).sum(0) if count else np.zeros(64 * PRINTS, np.int32))
             if count:
                 known.setdefault((int(g), int(count)), []).append(found)
-        self.prints = _prints(np.array(votes).reshape(len(texts), -1))
+        self.prints = _prints(np.array(votes).reshape(len(texts), 64 * PRINTS))
         #: By size of shingle and length of item, the items' shingles, sorted.
         self.known = {k: np.unique(np.concatenate(v)) for k, v in known.items()}
         self.gates = {}
@@ -181,22 +181,19 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "item_id", item_text: st
     are looked for in passes of ITEMS over the documents, so that no task holds more of them.
     """
     columns = docs.columns if columns is None else columns
-    names = [*docs.columns]
-    out, passed = free("leak_found", names), []
+    out, passed = free("leak_found", docs.columns), []
     held: list[tuple[int | None, bytes]] = []
-    frame = docs
 
     def searched(frame: DataFrame, held: list) -> DataFrame:
         index = Index([i for i, _ in held], shingle).build([t for _, t in held])
         name = free("leak_found", frame.columns)
         kept = [*frame.columns]
-        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name in kept]
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields]
         passed.append(name)
         return frame.mapInArrow(_rows(index, least, text, kept, name), ", ".join([*fields, f"`{name}` {_FOUND}"]))
 
     rows = items.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).orderBy("k", "t").toLocalIterator()
-    needed = docs.select(*dict.fromkeys([*columns, text]))
-    frame = needed
+    frame = docs.select(*dict.fromkeys([*columns, text]))
     for r in rows:
         held.append((r["k"], r["t"].encode()))
         if len(held) == ITEMS:

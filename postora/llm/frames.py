@@ -44,6 +44,12 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
+def anonymous(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1 and so on, which no name of an operator's own is like, and the new name of each."""
+    names = {n: f"c{i}" for i, n in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def row_keys(id_column: str, text_column: str) -> tuple[Column, Column]:
     """A long and an int, never null, that tell rows apart by id and whole text. Rows alike in both have the same keys."""
     return F.coalesce(F.col(id_column), F.lit(0)).cast("long"), F.hash(F.col(id_column).isNull(), F.col(text_column))

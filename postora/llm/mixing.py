@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postora.llm.frames import cut, free, with_running_total
+from postora.llm.frames import anonymous, cut, free, with_running_total
 
 WEIGHTS = (5, 2, 1)
 #: For each of the weights, knots (time, density) between which density is linear: heavy sources fade, light ones grow.
@@ -86,7 +86,11 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     source is a source. Equal keys are ordered by size and text; equal rows are taken in any order among themselves.
     An empty table gives an empty one.
     """
-    c = {n: free(f"mix_{n}", docs.columns) for n in ("size", "source_size", "target", "takes", "positions", "order", "content", "before", "kind")}
+    outs = ("size", "source_size", "target", "takes", "positions")
+    named = [*docs.columns, *(free(f"mix_{n}", docs.columns) for n in outs)]
+    docs, names = anonymous(docs)
+    source, text, key = names[source], names[text], names[key]
+    c = {n: f"mix_{n}" for n in (*outs, "order", "content", "before", "kind")}
     sized = docs.withColumn(c["size"], size_of(text)).withColumn(c["order"], F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))).withColumn(c["content"], F.xxhash64(text))
     aims = targets(sized, source, c["size"], weights, most).select(F.col("source").alias("aim_source"), F.col("kind").alias(c["kind"]), F.col("source_size").alias(c["source_size"]), F.col("target").alias(c["target"]))
     placed = with_running_total(sized, [source], [c["order"], key, c["size"], c["content"]], F.col(c["size"]), c["before"])
@@ -99,7 +103,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
         own = F.transform(taken, timed(knots))
         times = F.when(F.col(c["kind"]) % len(schedules) == i, own) if times is None else times.when(F.col(c["kind"]) % len(schedules) == i, own)
     out = placed.withColumn(c["positions"], times)
-    return out.withColumn(c["takes"], F.size(c["positions"]).cast("long")).select(*docs.columns, *[F.col(c[n]).alias(free(f"mix_{n}", docs.columns)) for n in ("size", "source_size", "target", "takes", "positions")])
+    return out.withColumn(c["takes"], F.size(c["positions"]).cast("long")).select(*docs.columns, *[c[n] for n in outs]).toDF(*named)
 
 
 def in_training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:

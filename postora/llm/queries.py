@@ -86,6 +86,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": """
+        WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        k AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind FROM s),
+        w AS (SELECT *, [5, 2, 1][kind + 1] AS weight, 3 * source_size AS cap FROM k),
+        c AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source) AS place, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS top,
+            sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS bottom FROM w),
+        l AS (SELECT top, bottom FROM c WHERE top * weight <= cap * bottom ORDER BY place LIMIT 1),
+        a AS (SELECT source, kind, source_size, CASE WHEN cap * l.bottom < l.top * weight THEN cap::DOUBLE ELSE l.top::DOUBLE * weight::DOUBLE / l.bottom::DOUBLE END AS target FROM w, l),
+        p AS (SELECT d.doc_id, d.size, a.source_size, a.target, a.kind, (coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+        m AS (SELECT *, before + size / 2 AS middle, (before + size / 2) / target AS y FROM p)
+        SELECT doc_id, size, source_size, target, (size * ((middle < target)::BIGINT + (source_size + middle < target)::BIGINT + (2 * source_size + middle < target)::BIGINT))::BIGINT AS taken,
+            CASE WHEN middle < target THEN CASE kind WHEN 0 THEN least(2 * y / (sqrt(1.5625::DOUBLE - y) + 1.25::DOUBLE), 1) WHEN 1 THEN least(2 * y / (sqrt(1::DOUBLE) + 1), 1)
+                ELSE CASE WHEN y < 0.375::DOUBLE THEN least(2 * y / (sqrt(0.25::DOUBLE + y * 2) + 0.5::DOUBLE), 0.5::DOUBLE) ELSE least(0.5::DOUBLE + 2 * (y - 0.375::DOUBLE) / (sqrt(1::DOUBLE + (y - 0.375::DOUBLE) * 2) + 1), 1) END END END::DOUBLE AS first_position
+        FROM m""",
+    "op7_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        n AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS newest FROM p)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, (1 + 5 * (i // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::BIGINT, 1)), '') AS payload_digest,
+            CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
+        FROM n""",
     "op4_embeddings": """
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
         u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),

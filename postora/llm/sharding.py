@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postora.llm.frames import free, with_running_total
+from postora.llm.frames import anonymous, free, with_running_total
 
 
 @dataclass(frozen=True)
@@ -98,10 +98,13 @@ def assign(docs: DataFrame, topology: Topology, key: str = "doc_id", text: str =
     Null keys are one key, and repeated keys share a shard; slots of equal rows come in any order among them. Null
     texts count no bytes. An empty table gives an empty one.
     """
-    c = {n: free(f"shard_{n}", docs.columns) for n in ("size", "crc32", "slot", "grown", "order")}
-    own = free("shard", docs.columns)
+    outs = ("shard_size", "shard_crc32", "shard", "shard_slot", "shard_grown")
+    named = [*docs.columns, *(free(n, docs.columns) for n in outs)]
+    docs, names = anonymous(docs)
+    key, text, own = names[key], names[text], "shard"
+    c = {n: f"shard_{n}" for n in ("size", "crc32", "slot", "grown", "order")}
     sized = docs.withColumn(c["size"], (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"))
     sized = sized.withColumn(c["crc32"], F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long"))
     placed = place(place(sized, key, topology, own), key, topology.grown(), c["grown"])
     placed = placed.withColumn(c["order"], F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(c["crc32"]).cast("string"))))
-    return with_running_total(placed, [own], [c["order"], key, c["size"]], F.lit(1), c["slot"]).drop(c["order"])
+    return with_running_total(placed, [own], [c["order"], key, c["size"]], F.lit(1), c["slot"]).select(*docs.columns, *outs).toDF(*named)

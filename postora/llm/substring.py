@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import free, row_keys
+from postora.llm.frames import anonymous, free, row_keys
 
 #: Occurrences a task holds before it counts and sends them.
 HELD = 1 << 20
@@ -151,7 +151,7 @@ def _places(sent: DataFrame) -> DataFrame:
     return again.groupBy(F.col("a").alias("_ka"), F.col("b").alias("_kb")).agg(F.collect_set(low(x).cast("int")).alias("_hits"))
 
 
-def _without(size: int, text: str, kept: str, words_out: str, removed: str, names: list[str]):
+def _without(size: int, text: str, names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in tx.blocks(batches, text):
             hits = batch.column(batch.schema.get_field_index("_hits")).to_pylist()
@@ -170,7 +170,7 @@ def _without(size: int, text: str, kept: str, words_out: str, removed: str, name
                 out.append(b" ".join(words))
                 n_removed.append(gone)
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.binary()).view(pa.string())], names=[*names, words_out, removed, kept])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.binary()).view(pa.string())], names=[*names, "words", "removed", "kept"])
 
     return rows
 
@@ -184,14 +184,16 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
     words lose none. Rows alike in key and text are copies of each other and lose every window; null keys are
     ordinary keys. An empty table gives an empty one.
     """
-    words_out, removed, kept = (free(f"repeat_{n}", docs.columns) for n in ("words", "removed", "kept"))
-    a, b = row_keys(key, text)
-    keyed = docs.withColumn("_a", a).withColumn("_b", b)
-    anchored = keyed.select("_a", "_b", text).mapInArrow(_anchors(size, text), _SENT)
+    outs = [free(f"repeat_{n}", docs.columns) for n in ("words", "removed", "kept")]
+    plain, names = anonymous(docs)
+    a, b = row_keys(names[key], names[text])
+    keyed = plain.withColumn("_a", a).withColumn("_b", b)
+    anchored = keyed.select("_a", "_b", names[text]).mapInArrow(_anchors(size, names[text]), _SENT)
     places = _places(anchored)
     on = lambda p: [F.col("_a") == p["_ka"], F.col("_b") == p["_kb"]]
-    extended = keyed.join(places.hint("shuffle_hash"), on(places)).mapInArrow(_extended(size, text), _SENT)
+    extended = keyed.join(places.hint("shuffle_hash"), on(places)).mapInArrow(_extended(size, names[text]), _SENT)
     repeats = _places(extended)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    schema = ", ".join([*fields, f"`{words_out}` long", f"`{removed}` long", f"`{kept}` string"])
-    return keyed.join(repeats.hint("shuffle_hash"), on(repeats), "left").mapInArrow(_without(size, text, kept, words_out, removed, docs.columns), schema)
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields]
+    schema = ", ".join([*fields, "words long", "removed long", "kept string"])
+    found = keyed.join(repeats.hint("shuffle_hash"), on(repeats), "left").mapInArrow(_without(size, names[text], plain.columns), schema)
+    return found.toDF(*docs.columns, *outs)
