@@ -51,7 +51,7 @@ def utf16(text: Column) -> Column:
 
 
 def utf32(text: Column) -> Column:
-    return F.encode(text, "UTF-32BE")
+    return F.encode(text, "UTF-32")
 
 
 def from_utf8(data: Column) -> Column:
