@@ -180,6 +180,13 @@ def positive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t.field, t.term) for t in sorted(terms, key=str)], "field string, term string")
 
 
+@_query(f"WITH {_D} SELECT (SELECT max(doc_id) FROM d WHERE {_has('des')} AND doc_id <= 150) AS newest_before, (SELECT min(doc_id) FROM d WHERE {_has('des')} AND doc_id >= 50) AS oldest_after")
+def posting_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, term = _documents(spark, sf_dir), ast.Term("text", "des")
+    after = compiler.forward(term, index, 50).withColumnRenamed("doc_id", "oldest_after")
+    return compiler.advance(term, index, 150).withColumnRenamed("doc_id", "newest_before").join(after)
+
+
 # Versions
 
 _LATEST = "l AS (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS superseded_by FROM events)"
@@ -293,6 +300,16 @@ def term_relevance_sqrt_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.term_relevance(ast.Term("text", "the"), _postings(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
+@_query(f"WITH {_P}, m AS (SELECT DISTINCT x.doc_id FROM o x JOIN o y ON x.doc_id = y.doc_id AND y.position = x.position + 1 WHERE x.term = 'of' AND y.term = 'the'), t AS (SELECT doc_id, term, sqrt(count(*)) AS s FROM o WHERE term IN ('of', 'the') GROUP BY doc_id, term) SELECT doc_id, round(1 + sum(s), 6) AS score FROM t JOIN m USING (doc_id) GROUP BY doc_id")
+def phrase_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase matches with 1 and the sum of the roots of their terms' frequencies."""
+    index = _postings(spark, sf_dir)
+    phrase = ast.Phrase("text", ("of", "the"), (0, 1))
+    scores = scoring.phrase_relevance([ast.Term("text", t) for t in phrase.terms], index)
+    found = compiler.phrase_matches(phrase, index.postings).select("doc_id").distinct()
+    return scores.join(found, "doc_id", "left_semi").select("doc_id", F.round("score", 6).alias("score"))
+
+
 # Statistics
 
 @_query(f"WITH {_P} SELECT 'text' AS field, term, count(*) AS n FROM o GROUP BY term")
@@ -400,6 +417,24 @@ def kv_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(store.newest(store.merged(_log(spark, sf_dir))))
 
 
+@_query("SELECT conv_id, arg_max(text, turn) AS text, count(*) AS versions FROM conversations GROUP BY conv_id")
+def stored_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored fields of conversations, each turn a new version of its conversation."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("uid"), F.col("turn").alias("doc_id"), "text")
+    versions = ingest.superseded(turns)
+    newest = snapshot.live(versions).select(F.col("uid").alias("conv_id"), "text")
+    return newest.join(statistics.histogram(versions, "uid").select(F.col("uid").alias("conv_id"), F.col("n").alias("versions")), "conv_id")
+
+
+@_query("SELECT s_suppkey, ((row_number() OVER (ORDER BY s_suppkey) - 1) // 7 + 1)::INTEGER AS file_id, (row_number() OVER (ORDER BY s_suppkey) - 1) % 7 AS \"offset\" FROM supplier")
+def kv_put_rolls_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries appended to a log whose files end after seven, read again with their checksums."""
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lit(1).alias("t"))
+    log = f"{scratch(spark)}/log"
+    store.put(log, store.entries(rows, "s_suppkey", "s_name", "t", ["s_suppkey"], per_file=7))
+    return store.checked(spark.read.parquet(log)).select(F.decode("key", "UTF-8").cast("long").alias("s_suppkey"), "file_id", "offset")
+
+
 @_query("SELECT count(DISTINCT user_id) AS keys, count(*) AS entries, sum(strlen(user_id::VARCHAR) + strlen(CASE WHEN event_id % 7 = 0 THEN 'bitcask_tombstone' ELSE event_type END))::BIGINT AS bytes FROM events")
 def kv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.stats(_log(spark, sf_dir))

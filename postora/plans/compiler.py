@@ -146,3 +146,13 @@ def count_matches(node: ast.Node, index: Index, at: int | None = None, only: Col
     """n, the number of matches, of those whose doc_id fulfils `only` if given."""
     found = by_predicate(node, index, at)
     return (found if only is None else found.where(only)).agg(F.count("*").alias("n"))
+
+
+def advance(node: ast.Node, index: Index, target: int, at: int | None = None) -> DataFrame:
+    """doc_id of the newest match at or before the target; null without one."""
+    return by_predicate(node, index, at).where(F.col("doc_id") <= target).agg(F.max("doc_id").alias("doc_id"))
+
+
+def forward(node: ast.Node, index: Index, target: int, at: int | None = None) -> DataFrame:
+    """doc_id of the oldest match at or after the target; null without one."""
+    return by_predicate(node, index, at).where(F.col("doc_id") >= target).agg(F.min("doc_id").alias("doc_id"))
