@@ -1,16 +1,18 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
-A document's shingles are hashed once; its sketch is the `K` least hashes. Of two documents at the threshold, the K
-least hashes of the union fall into both sets independently at the rate of the similarity, so both sketches share at
-least `NEED` of them but for a chance of about 4e-6 (`K`, `NEED` and a similarity of 0.8; less for closer pairs; never
-missed where both sets are smaller than the sketch, since what is asked then is what the threshold itself asks). Two sketches that
-share NEED values share one of the K - NEED + 1 rarest values of either, so inverted lists hold only those: values
-that very many documents keep are left out, without loss.
-
-A list is linked by pivots: all its members are compared with one of them, and only members of different classes are
-compared further. Members that a pivot links need no comparison among themselves, so a list of m copies costs m pairs
-and not m * m. What pivots leave apart is compared pair by pair, none left out. Each pair is tested on the union of
-the sketches with room for error, then on the full sets.
+A document's shingles are hashed once; its sketch is the `K` least hashes. The K least hashes of the union of two
+documents fall into both sets independently at the rate of the similarity, so two documents at the threshold have
+several of them in a row that both sketches retain. Inverted lists are kept by such runs of retained values: a run of
+three for a similarity of 0.8 is missing for one pair in 10 million just at the threshold, for fewer above, and for none
+where the sketches are the whole sets (documents of 5 shingles or fewer are listed by shorter runs too). A value that
+very many unrelated documents retain makes no long list, as its neighbours in their sketches differ.
+
+A list is linked by pivots: its members are compared with the one of them that stands in the longest lists, and only
+members of different classes are compared further. Members that a pivot links need no comparison among themselves, so a
+list of m copies costs m pairs and not m * m. What pivots leave apart is compared pair by pair, none left out: pairs
+whose sketches, as bitmaps, can't share enough are dropped in the join, and the others gathered by family, so that a
+document's set goes to a block of its family once and not to each pair. There the union of two sketches estimates the
+similarity, with room for five standard deviations, and the full sets decide.
 """
 
 from __future__ import annotations
@@ -19,16 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import components, cut, forget, row_keys
+from postora.llm.frames import bucketed, components, cut, forget, row_keys
 
-K, NEED = 48, 25
-#: Rounds of pivots before the rest is compared pair by pair.
-ROUNDS = 4
-_SKETCHED = "id long, a long, b int, n int, same1 long, same2 long, sketch array<long>"
+K = 48
+#: Least hashes that a sketch's bitmap holds, and its words of 64 bits. Sets of up to so many are held whole.
+MAPPED, _MAP = 256, 32
+#: Sets of so few shingles are listed by runs of every length up to the usual one.
+FEW = 5
+#: Rounds of pivots at most before the rest is compared pair by pair.
+ROUNDS = 6
+#: Sets that a block holds.
+BLOCK = 256
+_SKETCHED = "id long, a long, b int, n int, same1 long, same2 long, sketch array<long>, map binary"
 
 
 def _sketches(size: int, text: str, key: str, k: int):
@@ -43,8 +51,13 @@ def _sketches(size: int, text: str, key: str, k: int):
             np.cumsum(kept, out=offsets[1:])
             values = found[np.repeat(at[:-1], kept) + np.arange(offsets[-1]) - np.repeat(offsets[:-1], kept)] >> np.uint64(1)
             signed = lambda x: pa.array(x.view(np.int64))
+            most = np.minimum(n, MAPPED)
+            of = np.repeat(np.arange(len(n)), most)
+            bits = tx.mixed(found[np.repeat(at[:-1] - np.cumsum(most) + most, most) + np.arange(most.sum())]) >> np.uint64(53)
+            maps = np.zeros((len(n), _MAP), np.uint64)
+            np.bitwise_or.at(maps, (of, (bits >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bits & np.uint64(63)))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in (key, "_a", "_b")]
-            yield pa.RecordBatch.from_arrays([columns[0].cast(pa.int64()), *columns[1:], pa.array(n.astype(np.int32)), signed(same1), signed(same2), pa.ListArray.from_arrays(pa.array(offsets), signed(values))], names=["id", "a", "b", "n", "same1", "same2", "sketch"])
+            yield pa.RecordBatch.from_arrays([columns[0].cast(pa.int64()), *columns[1:], pa.array(n.astype(np.int32)), signed(same1), signed(same2), pa.ListArray.from_arrays(pa.array(offsets), signed(values)), pa.array([m.tobytes() for m in maps], pa.binary())], names=["id", "a", "b", "n", "same1", "same2", "sketch", "map"])
 
     return rows
 
@@ -60,76 +73,183 @@ def _sets(size: int, text: str):
     return rows
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    p = percent / 100
+    union, counts = np.unique(np.concatenate([x[:MAPPED], y[:MAPPED]]), return_counts=True)
+    union, counts = union[:MAPPED], counts[:MAPPED]
+    if (counts == 2).sum() < len(union) * p - 5 * (len(union) * p * (1 - p)) ** 0.5:
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verified(percent: int):
-    """Pairs whose full sets reach the threshold; sets are sorted hashes."""
+    """Rows of a block's key: first the sets of its nodes (b null), then its pairs a, b. Returns the pairs that reach
+    the threshold."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
         for batch in batches:
-            left, right = (batch.column(batch.schema.get_field_index(c)) for c in ("set_a", "set_b"))
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum()) if len(y) else 0
-                good[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            kept = batch.select(["a", "b"]).filter(pa.array(good))
-            if kept.num_rows:
-                yield kept
+            k1, k2, a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k1", "k2", "a", "b"))
+            own, out = batch.column(batch.schema.get_field_index("set")), []
+            for i, key in enumerate(zip(k1, k2)):
+                if key != now:
+                    now, sets = key, {}
+                if b[i] is None:
+                    sets[a[i]] = np.frombuffer(own[i].as_buffer().to_pybytes(), np.uint64)
+                elif _alike(sets[a[i]], sets[b[i]], percent):
+                    out.append((a[i], b[i]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return rows
 
 
-def _plausible(x: str, y: str, percent: int) -> Column:
-    """Sizes that can reach the threshold, and enough of the least values of the union of two sketches in both: five
-    standard deviations under what the threshold gives."""
-    n, m = F.col(f"n_{x}"), F.col(f"n_{y}")
-    sizes = (n * 100 >= m * percent) & (m * 100 >= n * percent)
-    s, t = F.col(f"sketch_{x}"), F.col(f"sketch_{y}")
-    union = F.slice(F.array_sort(F.array_union(s, t)), 1, K)
-    shared = F.size(F.array_intersect(F.array_intersect(s, t), union))
-    p = percent / 100
-    return sizes & (shared >= F.size(union) * p - 5 * F.sqrt(F.size(union) * (p * (1 - p))))
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs k1, k2, a, b those that reach the threshold; k1, k2 name blocks, to which each set goes once."""
+    pairs = cut(pairs)
+    ends = pairs.select("k1", "k2", "a").union(pairs.select("k1", "k2", "b")).distinct()
+    held = ends.join(sets, ends["a"] == sets["node"]).select("k1", "k2", "a", F.lit(None).cast("long").alias("b"), "set")
+    both = held.union(pairs.select("k1", "k2", "a", "b", F.lit(None).cast("binary")))
+    return both.repartition("k1", "k2").sortWithinPartitions("k1", "k2", F.asc_nulls_first("b")).mapInArrow(_verified(percent), "a long, b long")
+
+
+def _pairs_of(node: np.ndarray, root: np.ndarray, n: np.ndarray, maps: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `left` and `right` of pairs of other nodes and roots that may reach the threshold.
+
+    Their sizes can, and the bitmaps of their least hashes share as many values as the union needs: the share of the
+    threshold less five standard deviations or, of sets that the bitmaps hold whole, what it asks. Bits in common are
+    as many as shared values but for those that fall on one bit in either set.
+    """
+    p, xs, ys = percent / 100, [], []
+    held = np.minimum(n, MAPPED)
+    lost = held - np.bitwise_count(maps).sum(1)
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64]
+        bits = np.zeros((len(x), len(right)), np.int32)
+        for w in range(_MAP):
+            bits += np.bitwise_count(maps[x, w][:, None] & maps[right, w][None, :])
+        a, b = n[x][:, None].astype(np.int64), n[right][None, :].astype(np.int64)
+        need = np.where(np.maximum(a, b) <= MAPPED, (a + b) * (p / (1 + p)) - 1e-9, MAPPED * p - 5 * (MAPPED * p * (1 - p)) ** 0.5)
+        good = (a * 100 >= b * percent) & (b * 100 >= a * percent) & (root[x][:, None] != root[right][None, :])
+        good &= bits + np.minimum(lost[x][:, None], lost[right][None, :]) >= need
+        i, k = np.nonzero(good)
+        xs.append(x[i])
+        ys.append(right[k])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _listed_pairs(percent: int):
+    """From members of lists, in blocks (v, i, j) of two parts of a list, the pairs a > b that may reach the threshold;
+    a pair counts in the least of the lists that both are in."""
+
+    def done(group: pa.Table) -> pa.RecordBatch | None:
+        col = lambda c: group.column(c).combine_chunks()
+        node, root, n, part = (col(c).to_numpy() for c in ("node", "root", "n", "part"))
+        i, j, v = (group.column(c)[0].as_py() for c in ("i", "j", "v"))
+        maps = np.frombuffer(b"".join(x.as_buffer() for x in col("map")), np.uint64).reshape(len(node), _MAP)
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        x, y = _pairs_of(node, root, n, maps, left, right, percent)
+        if i == j:
+            once = node[x] > node[y]
+            x, y = x[once], y[once]
+        if not len(x):
+            return None
+        lists, every = {}, col("every")
+        for k in np.unique(np.concatenate([x, y])).tolist():
+            lists[k] = frozenset(every[k].values.to_numpy().tolist())
+        own = np.array([min(lists[a] & lists[b]) == v for a, b in zip(x.tolist(), y.tolist())], bool)
+        x, y = x[own], y[own]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[x], node[y])), pa.array(np.minimum(node[x], node[y]))], names=["a", "b"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("v", "i", "j")], 1)
+            at = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(at, at[1:]):
+                if now is not None and now != tuple(keys[begin]):
+                    if out := done(pa.Table.from_batches(held)):
+                        yield out
+                    held = []
+                now = tuple(keys[begin])
+                held.append(batch.slice(begin, end - begin))
+        if held and (out := done(pa.Table.from_batches(held))):
+            yield out
+
+    return rows
+
+
+def _run(percent: int) -> int:
+    """Retained values in a list's key: as many as pairs at the threshold have in a row almost surely."""
+    return 3 if percent >= 80 else 2 if percent >= 65 else 1
 
 
 def _lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """v, node: the inverted lists of the values that each node's sketch must be found by."""
-    values = nodes.select("node", "n", F.explode("sketch").alias("v"))
-    common = cut(values.groupBy("v").agg(F.count("*").alias("many")).where("many > 1"))
-    held, own = F.least("n", F.lit(K)), Window.partitionBy("node")
-    need = F.least(F.lit(NEED), F.ceil(F.col("n") * (percent / 100) - 1e-9).cast("int"))
-    # values of one node only come first in the order and are in no list
-    place = F.row_number().over(own.orderBy("many", "v")) + held - F.count("*").over(own)
-    return values.join(common, "v").withColumn("place", place).where(F.col("place") <= held - need + 1).select("v", "node")
+    """v, node: the inverted lists, by runs of values, that more than one node is in."""
+    held = F.size("sketch")
+
+    def runs(length: int) -> Column:
+        own = F.transform(F.sequence(F.lit(0), held - length), lambda i: F.xxhash64(F.lit(length), F.slice("sketch", i + 1, length)))
+        return F.when((held >= length) & ((F.lit(length) == _run(percent)) | (held <= FEW)), own).otherwise(F.array().cast("array<long>"))
+
+    listed = nodes.select("node", F.explode(F.array_distinct(F.concat(*map(runs, range(1, _run(percent) + 1))))).alias("v"))
+    common = cut(listed.groupBy("v").agg(F.count("*").alias("many")).where("many > 1"))
+    kept = cut(listed.join(common, "v").select("v", "node", "many"))
+    return kept.join(cut(kept.groupBy("node").agg(F.sum("many").alias("weight"))), "node").select("v", "node", "weight")
+
+
+def _families(pairs: DataFrame) -> DataFrame:
+    """k1, k2, a, b: the pairs of a family of candidates, in blocks of two parts of it of about BLOCK members."""
+    pairs = cut(pairs)
+    roots = components(pairs)
+    parts = cut(roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    placed = cut(roots.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
+    a, b = (placed.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("part").alias(f"part_{c}")) for c in ("a", "b"))
+    low, high = F.least("part_a", "part_b"), F.greatest("part_a", "part_b")
+    return pairs.join(a, "a").join(b, "b").select(F.col("root_a").alias("k1"), (low.cast("long") * (1 << 31) + high).alias("k2"), "a", "b")
 
 
 def _links(nodes: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs a > b of nodes at the threshold that join all nodes which chains of such pairs join."""
-    links, roots = None, None
+    links, roots, before = None, None, None
     for turn in range(ROUNDS + 1):
-        tagged = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
-        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node")))
-        groups = tagged.groupBy("v", "root").agg(F.count("*").alias("c"), drawn.alias("one"))
-        groups = groups.groupBy("v").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max(F.struct(F.col("c"), -F.col("root"), F.col("one.node").alias("node"), F.col("root"))).alias("most"))
-        apart = groups.where("m * m > q").select("v", "m", F.col("most.root").alias("pivot_root"), F.col("most.node").alias("pivot"), (F.col("m") * F.col("m") - F.col("q")).alias("cross"))
-        apart = cut(apart)
+        tagged = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").select("v", "node", "weight", F.coalesce("root", "node").alias("root"))
+        # first the member that stands in the longest lists; then any of the largest class
+        rank = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        groups = tagged.groupBy("v", "root").agg(F.count("*").alias("c"), F.max(F.struct(rank.alias("rank"), "node")).alias("one"))
+        most = F.max(F.struct((F.col("c") if turn else F.col("one.rank")).alias("by"), F.col("one.node").alias("node"), "root"))
+        groups = groups.groupBy("v").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), most.alias("most"))
+        apart = cut(groups.where("m * m > q").select("v", "m", F.col("most.root").alias("pivot_root"), F.col("most.node").alias("pivot"), (F.col("m") * F.col("m") - F.col("q")).alias("cross")))
         cross, rows = apart.agg(F.coalesce(F.sum("cross"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if not cross:
             break
-        members, last = tagged.join(apart, "v"), turn == ROUNDS or cross <= 8 * rows
+        members = tagged.join(apart, "v")
+        # pivots go on while they are of use
+        last = turn == ROUNDS or turn > 0 and (cross <= 4 * BLOCK * rows or cross > 0.8 * before)
+        before = cross
         if last:
-            own = cut(members.join(nodes, "node").select("v", "node", "root", "n", "sketch"))
-            x, y = (own.select(F.col("v").alias(f"v_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "n", "sketch")]) for s in ("a", "b"))
-            near = (F.col("v_a") == F.col("v_b")) & (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _plausible("a", "b", percent)
-            likely = x.join(y, near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+            members = cut(members.select("v", "node", "root", F.ceil(F.col("m") / (4 * BLOCK)).cast("int").alias("parts")))
+            every = cut(members.groupBy("node").agg(F.collect_list("v").alias("every")).join(nodes, "node"))
+            placed = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            placed = placed.select("v", "node", "root", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+            blocks = placed.join(every, "node").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
+            keyed = _families(blocks.mapInArrow(_listed_pairs(percent), "a long, b long"))
         else:
-            pairs = members.where("root <> pivot_root").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-            side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-            likely = pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible("a", "b", percent)).select("a", "b")
-        whole = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
-        found = likely.join(whole("a"), "a").join(whole("b"), "b").mapInArrow(_verified(percent), "a long, b long")
+            pairs = members.where("root <> pivot_root").groupBy("pivot", "node").agg(F.max("m").alias("m"))
+            part = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))
+            keyed = pairs.select(F.col("pivot").alias("k1"), part.alias("k2"), F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
+        found = _similar(keyed, sets, percent)
         links = cut(found if links is None else links.union(found))
         if last:
             break
@@ -145,14 +265,19 @@ def _classes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -
     rows = cut(keyed.mapInArrow(_sketches(shingle, "_text", "_id", K), _SKETCHED))
     full = rows.where("n > 0 and id is not null")
     # documents of one set are one node, named by its least key; the few that a repeated key would confuse, by hash
-    nodes = full.groupBy("same1", "same2").agg(F.min(F.struct("id", "a", "b", "n", "sketch")).alias("one")).select("same1", "same2", "one.*")
-    named = F.when(F.count("*").over(Window.partitionBy("id")) == 1, F.col("id")).otherwise(F.xxhash64("id", "same1", "same2"))
-    nodes = cut(nodes.withColumn("node", named))
+    nodes = full.groupBy("same1", "same2").agg(F.min(F.struct("id", "a", "b", "n", "sketch", "map")).alias("one")).select("same1", "same2", "one.*")
+    nodes = cut(nodes)
+    several = cut(nodes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("again")))
+    named = F.when(F.col("again").isNull(), F.col("id")).otherwise(F.xxhash64("id", "same1", "same2"))
+    nodes = nodes.join(several, F.col("id") == F.col("again"), "left").withColumn("node", named).drop("again")
     lists = cut(_lists(nodes, percent))
-    listed = cut(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch", "a", "b"))
+    listed = cut(nodes.select("node", "a", "b").join(lists.select("node").distinct(), "node", "left_semi"))
     texts = keyed.join(listed.select("node", "a", "b").hint("shuffle_hash"), (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")))
-    sets = cut(texts.select("_a", "_b", "_text", "node").dropDuplicates(["_a", "_b"]).mapInArrow(_sets(shingle, "_text"), "node long, set binary"))
-    roots = components(_links(listed.select("node", "n", "sketch"), lists, sets, percent))
+    sets = texts.select("_a", "_b", "_text", "node").dropDuplicates(["_a", "_b"]).mapInArrow(_sets(shingle, "_text"), "node long, set binary")
+    # bucketed by node, so that joins with it move the other side only
+    with bucketed(sets, "node") as sets:
+        links = _links(nodes.select("node", "n", "map"), lists, sets, percent)
+    roots = components(links)
     classes = nodes.join(roots, "node", "left").select("same1", "same2", "id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("least"))
     classes = cut(cut(classes).join(cut(least), "root").select("same1", "same2", "least"))
@@ -178,4 +303,4 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     """Of each class of near-duplicates the row with the least key, in all its columns; see near_duplicates."""
     gone = cut(_classes(docs, key, text, shingle, percent).where(~F.col("kept")).select(F.col("a").alias("_ka"), F.col("b").alias("_kb")).distinct())
     a, b = row_keys(key, text)
-    return docs.join(gone, (a == F.col("_ka")) & (b == F.col("_kb")), "left_anti")
+    return docs.join(gone, (a == gone["_ka"]) & (b == gone["_kb"]), "left_anti")
