@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import free
+from postora.llm.frames import free, in_small_batches
 
 PRINTS, BLOCKS, WIDTH, NEAR = 3, 4, 16, 3
 RADIUS = BLOCKS * (NEAR + 1) - 1
@@ -193,7 +193,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "item_id", item_text: st
         return frame.mapInArrow(_rows(index, least, text, kept, name), ", ".join([*fields, f"`{name}` {_FOUND}"]))
 
     rows = items.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).orderBy("k", "t").toLocalIterator()
-    frame = docs.select(*dict.fromkeys([*columns, text]))
+    frame = in_small_batches(docs).select(*dict.fromkeys([*columns, text]))
     for r in rows:
         held.append((r["k"], r["t"].encode()))
         if len(held) == ITEMS:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postora.llm.frames import components, cut
+from postora.llm.frames import components, cut, in_small_batches
 
 TABLES, TURNS = 8, 2
 #: Vectors of a block.
@@ -166,7 +166,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     linked with nothing and kept; a null key has no component. Vectors of other lengths are never linked. Rows of
     equal key are vectors of their own. An empty table gives an empty one.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
+    rows = in_small_batches(vectors).select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     sound = F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & F.coalesce(fine, F.lit(False))
     # equal vectors are one node, named by its least key; those that a repeated key would confuse, by a hash

@@ -11,6 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; its session from now on hands rows to Python in batches of BATCH_BYTES or less, so that the memory of
+    executors and workers doesn't follow the length of texts."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    given = conf.get(name)
+    if not given.isdigit() or int(given) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new name under the checkpoint folder that the cluster shares, for tables that a query writes and reads again.
     The folder is taken from spark.checkpoint.dir; only where that is unset, as in tests, a new local one is used."""

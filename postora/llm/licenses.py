@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from postora.llm import text as tx
-from postora.llm.frames import free
+from postora.llm.frames import free, in_small_batches
 
 # Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -204,7 +204,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
     """
     scanner = None if phrases is None and templates is None else compiled(phrases or {}, templates or {})
     columns = docs.columns if columns is None else columns
-    needed = docs.select(*dict.fromkeys([*columns, text]))
+    needed = in_small_batches(docs).select(*dict.fromkeys([*columns, text]))
     out, names = free("license_found", docs.columns), [c for c in needed.columns if c in columns]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in needed.schema.fields if f.name in columns]
     found = "struct<words: long, base: long, first: long, last: long, base_labels: array<string>, labels: array<string>, covered: long>"

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import bucketed, components, cut, forget, row_keys
+from postora.llm.frames import bucketed, components, cut, forget, in_small_batches, row_keys
 
 K = 48
 #: Least hashes that a sketch's bitmap holds, and its words of 64 bits. Sets of up to so many are held whole.
@@ -261,7 +261,7 @@ def _links(nodes: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) ->
 def _classes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """id, a, b, n, component and kept of each row of docs; see near_duplicates."""
     a, b = row_keys(key, text)
-    keyed = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), a.alias("_a"), b.alias("_b"))
+    keyed = in_small_batches(docs).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), a.alias("_a"), b.alias("_b"))
     rows = cut(keyed.mapInArrow(_sketches(shingle, "_text", "_id", K), _SKETCHED))
     full = rows.where("n > 0 and id is not null")
     # documents of one set are one node, named by its least key; the few that a repeated key would confuse, by hash

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import free
+from postora.llm.frames import free, in_small_batches
 
 BITS, DIM, GRAMS = 17, 8, (2, 3, 4)
 #: A word that also stands so many words before has a feature for that.
@@ -141,5 +141,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
     columns = docs.columns if columns is None else columns
     out = free("quality_score", docs.columns)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns]
-    needed = docs.select(*dict.fromkeys([*columns, text]))
+    needed = in_small_batches(docs).select(*dict.fromkeys([*columns, text]))
     return needed.mapInArrow(_scored(model, text, [f.name for f in needed.schema.fields if f.name in columns], out), ", ".join([*fields, f"`{out}` double"]))

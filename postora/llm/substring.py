@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import anonymous, free, row_keys
+from postora.llm.frames import anonymous, free, in_small_batches, row_keys
 
 #: Occurrences a task holds before it counts and sends them.
 HELD = 1 << 20
@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
     ordinary keys. An empty table gives an empty one.
     """
     outs = [free(f"repeat_{n}", docs.columns) for n in ("words", "removed", "kept")]
-    plain, names = anonymous(docs)
+    plain, names = anonymous(in_small_batches(docs))
     a, b = row_keys(names[key], names[text])
     keyed = plain.withColumn("_a", a).withColumn("_b", b)
     anchored = keyed.select("_a", "_b", names[text]).mapInArrow(_anchors(size, names[text]), _SENT)

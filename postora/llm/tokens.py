@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from postora.llm import text as tx
-from postora.llm.frames import free
+from postora.llm.frames import free, in_small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -185,7 +185,7 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", col
     """All rows of docs with their columns (or those named) and token_count: tokens of the whole text and its words.
     Null and empty texts have none. `vocabulary` is the path of a sentencepiece model, the same on every executor."""
     columns = docs.columns if columns is None else columns
-    needed = docs.select(*dict.fromkeys([*columns, text]))
+    needed = in_small_batches(docs).select(*dict.fromkeys([*columns, text]))
     out, names = free("token_count", docs.columns), [c for c in needed.columns if c in columns]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in needed.schema.fields if f.name in columns]
     return needed.mapInArrow(_rows(vocabulary, text, names, out), ", ".join([*fields, f"`{out}` struct<tokens: long, words: long>"]))

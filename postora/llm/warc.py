@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import cut
+from postora.llm.frames import cut, in_small_batches
 
 CHUNK = 1 << 16
 #: Payloads of fewer bytes are never written as revisits.
@@ -79,7 +79,7 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     no other row has the payload, a response. Rows of equal key and payload are records of their own.
     """
     body = F.coalesce(F.encode(F.col(payload).cast("string"), "UTF-8"), F.lit(b""))
-    plain = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("length"))
+    plain = in_small_batches(pages).select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("length"))
     # only digests of several rows matter: a table of a size that Spark knows before it picks the join
     shared = cut(plain.where(F.col("length") >= least_shared).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("shared"), "newest"))
     known = plain.join(shared, (F.col("digest") == F.col("shared")) & (F.col("length") >= least_shared), "left")
@@ -149,6 +149,7 @@ def read(table: DataFrame) -> DataFrame:
     """A row for each record of a chunk table: page_id, uri, record_type, payload_bytes and payload_digest (of the full
     payload, also where a record only refers to it) and refers_to. Records whose bytes aren't what they say raise."""
     schema = "page_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+    table = in_small_batches(table)
     whole = table.where("chunks = 1").mapInArrow(_read, schema)
     long_ = table.where("chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk").mapInArrow(_read, schema)
     return whole.union(long_)
