@@ -3,15 +3,15 @@
 A document's shingles are hashed once; its sketch is the `K` least hashes. The K least hashes of the union of two
 documents fall into both sets independently at the rate of the similarity, so two documents at the threshold have
 several of them in a row that both sketches retain. Inverted lists are kept by such runs of retained values: a run of
-three for a similarity of 0.8 is missing for one pair in 10 million just at the threshold, for fewer above, and for none
+three for a similarity of 0.8 is missing for 4 pairs in 100 million just at the threshold, for fewer above, and for none
 where the sketches are the whole sets (documents of 5 shingles or fewer are listed by shorter runs too). A value that
 very many unrelated documents retain makes no long list, as its neighbours in their sketches differ.
 
 A list is linked by pivots: its members are compared with the one of them that stands in the longest lists, and only
 members of different classes are compared further. Members that a pivot links need no comparison among themselves, so a
 list of m copies costs m pairs and not m * m. What pivots leave apart is compared pair by pair, none left out: pairs
-whose sketches, as bitmaps, can't share enough are dropped in the join, and the others gathered by family, so that a
-document's set goes to a block of its family once and not to each pair. There the union of two sketches estimates the
+whose sketches, as bitmaps, can't share enough are dropped within the block of a list that they meet in, and the others
+gathered by family, so that a document's set goes to a block of its family once and not to each pair. There the union of two sketches estimates the
 similarity, with room for five standard deviations, and the full sets decide.
 """
 

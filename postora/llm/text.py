@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _DRAWN = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 1024, dtype=np.uint64)
 #: The value of each byte, and for each kind of hash an odd multiplier that is 3 modulo 8.
