@@ -59,8 +59,7 @@ class Index:
         self.lengths, votes, known = n, [], {}
         for i, (at, count) in enumerate(zip(words.first[:-1], n)):
             g = min(self.shingle, count)
-            starts = np.arange(at, at + count - g + 1) if count else np.zeros(0, np.int64)
-            found = tx.spans(hashes, starts, starts + g, 2)
+            found = tx.runs(hashes[at : at + count], g, 2) if count else np.zeros(0, np.uint64)
             self.counts.append(dict(zip(*(x.tolist() for x in np.unique(found, return_counts=True)))))
             votes.append(_bits(found).sum(0) if count else np.zeros(64 * PRINTS, np.int32))
             if count:
@@ -112,10 +111,10 @@ def _searched(index: Index, least: float, words: tx.Words) -> dict[int, dict[int
     """By row and item, the similarity, start and length of the row's best window, the first of equals."""
     hashes, counts, found = words.hashes(), words.counts(), {}
     for g, gate in index.gates.items():
-        starts = np.flatnonzero(np.arange(len(words)) + g <= words.last())
-        shingles = tx.spans(hashes, starts, starts + g, 2)
-        passed = gate[shingles >> np.uint64(44)]
-        at, value = starts[passed], shingles[passed]
+        # the shingle from each word, also over the ends of texts, where none counts
+        shingles = tx.runs(hashes, g, 2)
+        at = np.flatnonzero((np.arange(len(shingles)) + g <= words.last()[: len(shingles)]) & gate[shingles >> np.uint64(44)])
+        value = shingles[at]
         if not len(at):
             continue
         for (own, length), known in index.known.items():
@@ -134,14 +133,14 @@ def _searched(index: Index, least: float, words: tx.Words) -> dict[int, dict[int
             fits = np.minimum(length, counts[row])
             inside = fits - g + 1
             for i in range(0, len(window), 2048):
-                _verify(index, least, hashes, window[i : i + 2048], row[i : i + 2048], inside[i : i + 2048], words, g, length, found)
+                _verify(index, least, shingles, window[i : i + 2048], row[i : i + 2048], inside[i : i + 2048], words, g, length, found)
     return found
 
 
-def _verify(index: Index, least: float, hashes: np.ndarray, window: np.ndarray, row: np.ndarray, inside: np.ndarray, words: tx.Words, g: int, length: int, found: dict) -> None:
+def _verify(index: Index, least: float, every: np.ndarray, window: np.ndarray, row: np.ndarray, inside: np.ndarray, words: tx.Words, g: int, length: int, found: dict) -> None:
     # the windows overlap: votes are summed once over all their shingles
     places = np.unique(np.repeat(window - np.cumsum(inside) + inside, inside) + np.arange(inside.sum()))
-    shingles = tx.spans(hashes, places, places + g, 2)
+    shingles = every[places]
     sums = np.zeros((len(places) + 1, 64 * PRINTS), np.int32)
     np.cumsum(_bits(shingles), axis=0, out=sums[1:])
     begin = np.searchsorted(places, window)
@@ -177,8 +176,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "item_id", item_text: st
     first word and number of words.
 
     Words are runs of what is not ASCII white space, lower-cased in A-Z; fewer words than a shingle make one. Items
-    and texts that are null or without words match nothing. Items of equal id or text are items of their own. Items
-    are looked for in passes of ITEMS over the documents, so that no task holds more of them.
+    and texts that are null or without words match nothing. Texts and items of any length count whole. Items of equal
+    id or text are items of their own; of equally similar windows the first counts; repeated rows of docs fare alike.
+    Other columns pass through; where docs has a column leak_found, the result's has underscores before it. Without
+    items nothing is found; without documents the result is empty. Items are looked for in passes of ITEMS over the
+    documents, so that no task holds more of them.
     """
     columns = docs.columns if columns is None else columns
     out, passed = free("leak_found", docs.columns), []

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +31,17 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new name under the checkpoint folder that the cluster shares, for tables that a query writes and reads again.
-    The folder is taken from spark.checkpoint.dir; only where that is unset, as in tests, a new local one is used."""
+    The folder is taken from spark.checkpoint.dir. Only where driver and executors are one process, as in tests, a new
+    local one may stand in, with a warning; elsewhere an unset folder raises."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postora-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="postora-")
+            warnings.warn(f"spark.checkpoint.dir is unset; tables are stored in {folder}", stacklevel=2)
+        context.setCheckpointDir(folder)
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -52,6 +63,21 @@ def forget(*frames: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A cut() whose tables are deleted in the end: what outlives them must be cut outside."""
+    held: list[DataFrame] = []
+
+    def own(df: DataFrame) -> DataFrame:
+        held.append(cut(df))
+        return held[-1]
+
+    try:
+        yield own
+    finally:
+        forget(*held)
+
+
 @contextmanager
 def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
     """df as a table of the warehouse, in as many buckets by key as shuffles have partitions, a file each; it is dropped
@@ -80,53 +106,131 @@ def anonymous(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def row_keys(id_column: str, text_column: str) -> tuple[Column, Column]:
-    """A long and an int, never null, that tell rows apart by id and whole text. Rows alike in both have the same keys."""
-    return F.coalesce(F.col(id_column), F.lit(0)).cast("long"), F.hash(F.col(id_column).isNull(), F.col(text_column))
+    """Two longs, never null: 128 bits of the id (null apart from any other) and the whole text with its length. Rows
+    alike in both have the same keys."""
+    own = [F.col(id_column).isNull(), F.col(id_column), F.coalesce(F.octet_length(F.col(text_column)), F.lit(-1)), F.col(text_column)]
+    return F.xxhash64(F.lit(1), *own), F.xxhash64(F.lit(2), *reversed(own))
 
 
-def with_running_total(df: DataFrame, group: list[str], order: list[str], amount: Column, out: str, total: str | None = None, digits: int = 3) -> DataFrame:
-    """Adds `out`, the sum of `amount` over the rows of the same group that come before, and `total`, the group's.
+def celled(df: DataFrame, group: str, order: str, cell: str, digits: int = 3) -> DataFrame:
+    """df with `cell`, a string that is never null: the group, dealt into 16**digits parts by the first digits of
+    `order`, a hexadecimal string. Cells of a group sort as its rows do by `order`."""
+    return df.withColumn(cell, F.concat(F.substring(order, 1, digits), F.lit("|"), F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))))
 
-    A group is dealt into 16**digits buckets by the first digits of order[0], a hexadecimal string: totals of buckets
-    are summed in a window of at most so many rows, and each bucket is ordered by itself, so that no task gets a whole
-    group. Rows alike in all of `order` come in any order. group columns may be null.
+
+def with_running_total(df: DataFrame, cells: DataFrame, group: str, cell: str, order: list[str], amount: Column, out: str, more: Sequence[str] = ()) -> DataFrame:
+    """Adds `out`, the sum of `amount` over the rows of the same group that come before, and the columns `more` of the
+    row's cell. df is celled(); cells has group, cell and s, the sum of a cell's amounts.
+
+    Sums of cells are added up in a window of at most a group's cells, and each cell is ordered by itself, so that no
+    task gets a whole group; window and join share one exchange by cell. Rows alike in all of `order` come in any order.
     """
-    bucket, own, before = (free(n, df.columns) for n in ("bucket", "own", "before"))
-    tagged = df.withColumn(bucket, F.substring(order[0], 1, digits)).withColumn(own, amount)
-    sums = tagged.groupBy(*group, bucket).agg(F.sum(own).alias("s"))
-    by_group = Window.partitionBy(*group).orderBy(bucket)
-    sums = sums.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.col(bucket).alias("b"), F.coalesce(F.sum("s").over(by_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before), *([F.sum("s").over(Window.partitionBy(*group)).alias(total)] if total else []))
-    same = F.col(bucket).eqNullSafe(F.col("b"))
-    for i, g in enumerate(group):
-        same &= tagged[g].eqNullSafe(sums[f"g{i}"])
-    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tagged.withColumn(out, F.coalesce(F.sum(own).over(inside), F.lit(0)))
-    same = F.col(bucket).eqNullSafe(F.col("b"))
-    for i, g in enumerate(group):
-        same &= F.col(g).eqNullSafe(F.col(f"g{i}"))
-    joined = ranked.join(sums, same, "left").withColumn(out, F.col(out) + F.col(before))
-    return joined.select(*df.columns, out, *([total] if total else []))
+    earlier = Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select(F.col(cell).alias("of"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("offset"), *more)
+    inside = Window.partitionBy(cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = df.withColumn(out, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return ranked.join(offsets, F.col(cell) == F.col("of")).withColumn(out, F.col(out) + F.col("offset")).drop("of", "offset", cell)
+
+
+def with_sums_before(df: DataFrame, order: list[Column], amounts: dict[str, Column]) -> DataFrame:
+    """df, stored in the given order, with for each name the sum of its amount over all rows before. Rows lie in ranges
+    of the order, a task each; only the ranges' sums come to the driver."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sums = placed.groupBy(part.alias("p")).agg(*[F.sum(a).alias(n) for n, a in amounts.items()]).orderBy("p").collect()  # a row for each range
+    before, total = [], dict.fromkeys(amounts, 0)
+    for r in sums:
+        before.append((r["p"], *total.values()))
+        total = {n: v + (r[n] or 0) for n, v in total.items()}
+    offsets = df.sparkSession.createDataFrame(before, ", ".join(["p long", *(f"`{n}_offset` long" for n in amounts)]))
+    inside = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.withColumn("p", part).join(F.broadcast(offsets), "p")
+    return joined.select(*df.columns, *[(F.coalesce(F.sum(a).over(inside), F.lit(0)) + F.col(f"{n}_offset")).alias(n) for n, a in amounts.items()])
+
+
+#: Links that are joined at once.
+_HELD_LINKS = 1 << 20
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some links, sorted, and the least node that links reach from each."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        after, low = root.copy(), np.minimum(root[x], root[y])
+        np.minimum.at(after, root[x], low)
+        np.minimum.at(after, root[y], low)
+        while not (after == after[after]).all():
+            after = after[after]
+        if (after == root).all():
+            return nodes, nodes[root]
+        root = after
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a task with those of each _HELD_LINKS turned into stars."""
+    held, rows = [], 0
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nodes, roots = least_reached(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)))
+        apart = nodes != roots
+        return pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(roots[apart])], names=["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= _HELD_LINKS:
+            yield stars(held)
+            held, rows = [], 0
+    if held:
+        yield stars(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: longs a and b. Returns node and root, the smallest node that links reach, for each node of a link.
+    """edges: longs a and b. Returns node and root, the smallest node that links reach, for each node of a link; the
+    frame can be forgotten like one that was cut.
 
-    Large-star and small-star steps in turn, each of which moves links toward smaller nodes, until links are stars.
-    Nothing but counts comes to the driver. Least neighbours are summed up before they are shuffled and stored, so
-    that the joins with them read two plain exchanges, whose hot keys Spark can split.
+    Each task joins what links it has; then large-star and small-star steps in turn, each of which moves links toward
+    smaller nodes, until all links are stars. Nothing but a test of that comes to the driver. Least neighbours are
+    summed up before they are shuffled and stored, so that the joins with them read two plain exchanges, whose hot keys
+    Spark can split.
     """
-    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    contracted = lambda df: cut(df.select("a", "b").mapInArrow(_contracted, "a long, b long"))
+    links = contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
+        # stars: each node has one link downward, and none that is linked to has any
+        ends = links.select(F.col("a").alias("k"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(links.select("b", F.lit(0), F.lit(1)))
+        seen = ends.groupBy("k").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if seen.where("down > 1 or down > 0 and up > 0").limit(1).count() == 0:
+            out = links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out._folder = links._folder
+            return out
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "a").alias("m")))
         large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).withColumnRenamed("a", "k"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k"))
         joined = large.join(low, F.col("a") == F.col("k"))
-        after = cut(joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        # stars: each node has one link downward, and none that is linked to has any
-        several = low.where("c > 1").limit(1).count()
-        chained = several or after.join(low.select("k"), F.col("b") == F.col("k"), "left_semi").limit(1).count()
+        after = contracted(joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         forget(links, least, low)
         links = after
-        if not chained:
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows of equal keys."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in keys], 1)
+        at = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(at, at[1:]):
+            if now is not None and now != tuple(own[begin].tolist()):
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = tuple(own[begin].tolist())
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield now, pa.Table.from_batches(held)

@@ -6,7 +6,9 @@ automaton over words; a text holds the licence where the automaton accepts words
 scanned a block at a time for places where two words that can open a template stand together, by word hash; automata
 run from those places only.
 
-Base phrases, whole words in sequence, are counted as well.
+Of templates accepted from one place only those count that accept most words: a notice that goes on with "or any later
+version" isn't that of the version alone, and three clauses aren't two. Base phrases, whole words in sequence, are
+counted as well.
 """
 
 from __future__ import annotations
@@ -31,10 +33,44 @@ _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, E
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
 <<optional>>THE<<end>> <<any:6>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
 OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: <<optional>>1<<end>> Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. <<optional>>2<<end>> Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY <<any:8>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any:8>> BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = "free software <<optional>>you can<<end>> redistribute it and/or modify it under the terms of the GNU"
+_PUBLISHED = "General Public License as published by the Free Software Foundation <<optional>>either<<end>> version"
+_LATER = "of the License or (at your option) any later version"
+_TERMS = "licensed under the <<optional>>terms of the<<end>> GNU General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> version"
 TEMPLATES = {
-    "gpl-2.0": ["licensed under the <<optional>>terms of the<<end>> GNU General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> version 2 <<optional>>0<<end>>"],
-    "gpl-3.0": ["licensed under the <<optional>>terms of the<<end>> GNU General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> version 3 <<optional>>0<<end>>"],
-    "apache-2.0": ["Licensed under the Apache License <<optional>>Version<<end>> 2.0"],
+    "gpl-2.0-only": [f"{_TERMS} 2 <<optional>>0<<end>> <<optional>>only<<end>>", f"{_GNU} {_PUBLISHED} 2 of the License <<optional>>only<<end>>"],
+    "gpl-2.0-or-later": [f"{_TERMS} 2 <<optional>>0<<end>> or <<optional>>any<<end>> later <<optional>>version<<end>>", f"{_TERMS} 2 {_LATER}", f"{_GNU} {_PUBLISHED} 2 {_LATER}"],
+    "gpl-3.0-only": [f"{_TERMS} 3 <<optional>>0<<end>> <<optional>>only<<end>>", f"{_GNU} {_PUBLISHED} 3 of the License <<optional>>only<<end>>"],
+    "gpl-3.0-or-later": [f"{_TERMS} 3 <<optional>>0<<end>> or <<optional>>any<<end>> later <<optional>>version<<end>>", f"{_TERMS} 3 {_LATER}", f"{_GNU} {_PUBLISHED} 3 {_LATER}"],
+    "lgpl-2.0-or-later": [f"{_GNU} Library {_PUBLISHED} 2 {_LATER}"],
+    "lgpl-2.1-only": [f"{_GNU} Lesser {_PUBLISHED} 2.1 of the License"],
+    "lgpl-2.1-or-later": [f"{_GNU} Lesser {_PUBLISHED} 2.1 {_LATER}"],
+    "lgpl-3.0-or-later": [f"{_GNU} Lesser {_PUBLISHED} 3 {_LATER}"],
+    "agpl-3.0-only": [f"{_GNU} Affero {_PUBLISHED} 3 of the License"],
+    "agpl-3.0-or-later": [f"{_GNU} Affero {_PUBLISHED} 3 {_LATER}"],
+    "apache-2.0": [
+        "Licensed under the Apache License <<optional>>Version<<end>> 2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at <<one:https?>> <<optional>>www<<end>> apache.org/licenses/LICENSE-2.0
+        <<optional>>html<<end>> Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+    ],
+    "mpl-2.0": [
+        """subject to the terms of the Mozilla Public License, <<one:v|version>> 2.0 <<optional>>If a copy of the MPL was not distributed
+        with this file, You can obtain one at <<one:https?>> <<optional>>www<<end>> mozilla.org/MPL/2.0<<end>>"""
+    ],
     "mit": [
         "Released under the <<optional>>terms of the<<end>> MIT License",
         "Licensed under the <<optional>>terms of the<<end>> MIT License",
@@ -49,13 +85,22 @@ TEMPLATES = {
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
         provided that the above copyright notice and this permission notice appear in all copies."""
     ],
-    "bsd-2-clause": [
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-        conditions are met: <<optional>>1<<end>> Redistributions of source code must retain the above copyright notice, this list of
-        conditions and the following disclaimer. <<optional>>2<<end>> Redistributions in binary form must reproduce the above copyright
-        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-        distribution."""
+    "0bsd": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+    ],
+    "bsd-2-clause": [f"{_BSD} {_BSD_WARRANTY}"],
+    "bsd-3-clause": [
+        f"""{_BSD} <<optional>>3<<end>> Neither the name of <<any:12>> nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission. {_BSD_WARRANTY}"""
+    ],
+    "zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"""
     ],
+    "bsl-1.0": ["""Distributed under the Boost Software License, Version 1.0"""],
+    "unlicense": ["""free and unencumbered software released into the public domain"""],
     "cc-by-4.0": ["<<optional>>is<<end>> licensed under <<optional>>a<<end>> CC BY 4.0"],
     "cc-by-sa-4.0": ["<<optional>>is<<end>> licensed under <<optional>>a<<end>> CC BY-SA 4.0"],
     "cc-by-nc-4.0": ["<<optional>>is<<end>> licensed under <<optional>>a<<end>> CC BY-NC 4.0"],
@@ -79,22 +124,30 @@ class Template:
     def __init__(self, markup: str) -> None:
         self.steps: list[str | re.Pattern | None] = []
         self.skips: dict[int, list[int]] = {}
+        #: The same as a regular expression over words that each end in a blank.
+        self.pattern = ""
         opened, at = [], 0
         for mark in [*_MARK.finditer(markup), None]:
-            self.steps += _WORD.findall(_lower(markup[at : mark.start() if mark else None]))
+            plain = _WORD.findall(_lower(markup[at : mark.start() if mark else None]))
+            self.steps += plain
+            self.pattern += "".join(f"{re.escape(w)} " for w in plain)
             if mark is None:
                 break
             at, kind = mark.end(), mark[1]
             if kind == "optional":
                 opened.append(len(self.steps))
+                self.pattern += "(?:"
             elif kind == "end":
                 self.skips.setdefault(opened.pop(), []).append(len(self.steps))
+                self.pattern += ")?"
             elif kind.startswith("any:"):
+                self.pattern += f"(?:[^ ]+ ){{0,{int(kind[4:])}}}"
                 for _ in range(int(kind[4:])):
                     self.skips.setdefault(len(self.steps), []).append(len(self.steps) + 1)
                     self.steps.append(None)
             else:
                 self.steps.append(re.compile(kind[4:]))
+                self.pattern += f"(?:{kind[4:]}) "
         if opened:
             raise ValueError("an optional region isn't ended")
         if not all(isinstance(w, str) for pair in self.openings() for w in pair):
@@ -176,12 +229,16 @@ def _rows(scanner: Scanner | None, text: str, columns: list[str], out: str):
                 for i in places(wanted):
                     if all(words.word(i + k) == w for k, w in enumerate(spelled)):
                         at.setdefault(int(np.searchsorted(words.first, i, "right")) - 1, []).append((i, len(spelled), label, True))
+            longest: dict[int, tuple[int, set[str]]] = {}
             for template, label, openings in own.templates:
                 for wanted in openings:
                     for i in places(wanted):
                         n = template.accepts(words.word(j).decode("utf-8", "replace") for j in range(i, int(last[i])))
-                        if n:
-                            at.setdefault(int(np.searchsorted(words.first, i, "right")) - 1, []).append((i, n, label, False))
+                        most, labels = longest.get(i, (1, set()))
+                        if n >= most:
+                            longest[i] = (n, {label} if n > most else labels | {label})
+            for i, (n, labels) in longest.items():
+                at.setdefault(int(np.searchsorted(words.first, i, "right")) - 1, []).extend((i, n, label, False) for label in labels)
             values = []
             for r, count in enumerate(words.counts().tolist()):
                 found, begin = at.get(r, ()), int(words.first[r])
@@ -200,7 +257,10 @@ def scan(docs: DataFrame, text: str = "text", phrases: dict[str, str] | None = N
     labels (of phrases and templates, distinct, sorted) and covered (words within what was found).
 
     Words are runs of letters and digits of ASCII and of whatever isn't ASCII, lower-cased in A-Z. Overlapping places
-    all count. Null and empty texts have no words. Rows are judged one by one, so repeated rows fare alike.
+    all count; of templates that accept equally many words from one place each counts. Null and empty texts have no
+    words; texts of any length are scanned whole. Rows are judged one by one, so repeated rows fare alike. Other columns
+    pass through; where docs has a column license_found, the result's has underscores before it. An empty table gives
+    an empty one.
     """
     scanner = None if phrases is None and templates is None else compiled(phrases or {}, templates or {})
     columns = docs.columns if columns is None else columns

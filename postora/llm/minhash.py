@@ -1,23 +1,24 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
-A document's shingles are hashed once; its sketch is the `K` least hashes. The K least hashes of the union of two
-documents fall into both sets independently at the rate of the similarity, so two documents at the threshold have
-several of them in a row that both sketches retain. Inverted lists are kept by such runs of retained values: a run of
-three for a similarity of 0.8 is missing for 4 pairs in 100 million just at the threshold, for fewer above, and for none
-where the sketches are the whole sets (documents of 5 shingles or fewer are listed by shorter runs too). A value that
-very many unrelated documents retain makes no long list, as its neighbours in their sketches differ.
+A document's shingles are hashed once; its sketch is the `K` least hashes. Each retained value has an inverted list of
+the documents that retain it. The K least hashes of the union of two documents fall into both sets independently at the
+rate of the similarity, so two documents at the threshold have at least `_needed` retained values in common but for
+about one pair in ten million just at the threshold, and always where the sketches are whole sets. A document that must share m of its k values
+with another shares one of its k - m + 1 rarest with it, if both order values alike: only those lists are read, so that
+values which very many documents retain make no list unless little else is retained.
 
 A list is linked by pivots: its members are compared with the one of them that stands in the longest lists, and only
 members of different classes are compared further. Members that a pivot links need no comparison among themselves, so a
 list of m copies costs m pairs and not m * m. What pivots leave apart is compared pair by pair, none left out: pairs
 whose sketches, as bitmaps, can't share enough are dropped within the block of a list that they meet in, and the others
-gathered by family, so that a document's set goes to a block of its family once and not to each pair. There the union of two sketches estimates the
-similarity, with room for five standard deviations, and the full sets decide.
+gathered by family, so that a document's text goes to a block of its family once and not to each pair. There the union
+of two sketches estimates the similarity, with room for five standard deviations, and the full sets of shingles decide,
+compared word by word and not by hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,27 +26,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import bucketed, components, cut, forget, in_small_batches, row_keys
+from postora.llm.frames import anonymous, bucketed, components, cut, forget, groups_of, in_small_batches, row_keys, tables
 
 K = 48
 #: Least hashes that a sketch's bitmap holds, and its words of 64 bits. Sets of up to so many are held whole.
 MAPPED, _MAP = 256, 32
-#: Sets of so few shingles are listed by runs of every length up to the usual one.
-FEW = 5
 #: Rounds of pivots at most before the rest is compared pair by pair.
 ROUNDS = 6
-#: Sets that a block holds.
-BLOCK = 256
-_SKETCHED = "id long, a long, b int, n int, same1 long, same2 long, sketch array<long>, map binary"
+#: Documents of a part of a family, and of a part of a list; each two parts are a block.
+BLOCK, LISTED = 64, 1024
+#: Bytes of text that a block compares at once; a block of more is compared a pair at a time.
+BLOCK_TEXT = 8 << 20
+_SKETCHED = "id long, a long, b long, n int, same1 long, same2 long, sketch array<long>, map binary"
 
 
 def _sketches(size: int, text: str, key: str, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in tx.blocks(batches, text):
-            words = tx.words_of(texts, tx.WHITE, lower=True)
-            found, at = tx.shingle_sets(words, words.hashes(), size)
+            found, at = tx.shingle_sets(tx.words_of(texts, tx.WHITE, lower=True), size)
             n = np.diff(at)
-            same1, same2 = tx.spans(found, at[:-1], at[1:], 3), tx.spans(tx.mixed(found), at[:-1], at[1:], 4)
             kept = np.minimum(n, k)
             offsets = np.zeros(len(n) + 1, np.int32)
             np.cumsum(kept, out=offsets[1:])
@@ -57,68 +56,67 @@ def _sketches(size: int, text: str, key: str, k: int):
             maps = np.zeros((len(n), _MAP), np.uint64)
             np.bitwise_or.at(maps, (of, (bits >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bits & np.uint64(63)))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in (key, "_a", "_b")]
-            yield pa.RecordBatch.from_arrays([columns[0].cast(pa.int64()), *columns[1:], pa.array(n.astype(np.int32)), signed(same1), signed(same2), pa.ListArray.from_arrays(pa.array(offsets), signed(values)), pa.array([m.tobytes() for m in maps], pa.binary())], names=["id", "a", "b", "n", "same1", "same2", "sketch", "map"])
-
-    return rows
-
-
-def _sets(size: int, text: str):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in tx.blocks(batches, text):
-            words = tx.words_of(texts, tx.WHITE, lower=True)
-            found, at = tx.shingle_sets(words, words.hashes(), size)
-            packed = [found[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.array(packed, pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([columns[0].cast(pa.int64()), *columns[1:], pa.array(n.astype(np.int32)), signed(tx.sums(found, at, 3)), signed(tx.sums(found, at, 4)), pa.ListArray.from_arrays(pa.array(offsets), signed(values)), pa.array([m.tobytes() for m in maps], pa.binary())], names=["id", "a", "b", "n", "same1", "same2", "sketch", "map"])
 
     return rows
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach the threshold."""
+    """Whether two sorted sets of exact shingles reach the threshold."""
     if len(x) > len(y):
         x, y = y, x
     if not len(x) or 100 * len(x) < percent * len(y):
         return False
-    p = percent / 100
-    union, counts = np.unique(np.concatenate([x[:MAPPED], y[:MAPPED]]), return_counts=True)
-    union, counts = union[:MAPPED], counts[:MAPPED]
-    if (counts == 2).sum() < len(union) * p - 5 * (len(union) * p * (1 - p)) ** 0.5:
-        return False
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
     both = int((y[at] == x).sum())
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verified(percent: int):
-    """Rows of a block's key: first the sets of its nodes (b null), then its pairs a, b. Returns the pairs that reach
+def _may_be_alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the least hashes of the union of two sets leave the threshold within five standard deviations."""
+    p = percent / 100
+    union, counts = np.unique(np.concatenate([x[:MAPPED], y[:MAPPED]]), return_counts=True)
+    union, counts = union[:MAPPED], counts[:MAPPED]
+    return (counts == 2).sum() >= len(union) * p - 5 * (len(union) * p * (1 - p)) ** 0.5
+
+
+def _compared(texts: list[bytes], pairs: list[tuple[int, int]], size: int, percent: int) -> list[tuple[int, int]]:
+    """Of pairs of texts those whose shingles reach the threshold."""
+    if len(texts) > 2 and sum(map(len, texts)) > BLOCK_TEXT:
+        return [(i, j) for i, j in pairs if _compared([texts[i], texts[j]], [(0, 1)], size, percent)]
+    words = tx.words_of(texts, tx.WHITE, lower=True)
+    hashes, at = tx.shingle_sets(words, size)
+    likely = [(i, j) for i, j in pairs if _may_be_alike(hashes[at[i] : at[i + 1]], hashes[at[j] : at[j + 1]], percent)]
+    if not likely:
+        return []
+    sets, at = tx.exact_sets(words, size)
+    return [(i, j) for i, j in likely if _alike(sets[at[i] : at[i + 1]], sets[at[j] : at[j + 1]], percent)]
+
+
+def _verified(size: int, percent: int):
+    """Rows of a block's key: first the texts of its nodes (b null), then its pairs a, b. Returns the pairs that reach
     the threshold."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets = None, {}
-        for batch in batches:
-            k1, k2, a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k1", "k2", "a", "b"))
-            own, out = batch.column(batch.schema.get_field_index("set")), []
-            for i, key in enumerate(zip(k1, k2)):
-                if key != now:
-                    now, sets = key, {}
-                if b[i] is None:
-                    sets[a[i]] = np.frombuffer(own[i].as_buffer().to_pybytes(), np.uint64)
-                elif _alike(sets[a[i]], sets[b[i]], percent):
-                    out.append((a[i], b[i]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for _, group in groups_of(batches, ("k1", "k2")):
+            a, b = group.column("a").to_numpy(), group.column("b").to_pylist()
+            n = sum(x is None for x in b)
+            texts = [bytes(t.as_buffer()) if t.is_valid else b"" for t in group.column("text").slice(0, n)]
+            place = {k: i for i, k in enumerate(a[:n].tolist())}
+            found = _compared(texts, [(place[x], place[y]) for x, y in zip(a[n:].tolist(), b[n:])], size, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([int(a[p[k]]) for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return rows
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs k1, k2, a, b those that reach the threshold; k1, k2 name blocks, to which each set goes once."""
-    pairs = cut(pairs)
+def _similar(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs k1, k2, a, b (stored) those that reach the threshold; k1, k2 name blocks, to which each text goes once."""
     ends = pairs.select("k1", "k2", "a").union(pairs.select("k1", "k2", "b")).distinct()
-    held = ends.join(sets, ends["a"] == sets["node"]).select("k1", "k2", "a", F.lit(None).cast("long").alias("b"), "set")
-    both = held.union(pairs.select("k1", "k2", "a", "b", F.lit(None).cast("binary")))
-    return both.repartition("k1", "k2").sortWithinPartitions("k1", "k2", F.asc_nulls_first("b")).mapInArrow(_verified(percent), "a long, b long")
+    held = ends.join(texts, ends["a"] == texts["node"]).select("k1", "k2", "a", F.lit(None).cast("long").alias("b"), "text")
+    both = held.union(pairs.select("k1", "k2", "a", "b", F.lit(None).cast("string")))
+    return both.repartition("k1", "k2").sortWithinPartitions("k1", "k2", F.asc_nulls_first("b")).mapInArrow(_verified(size, percent), "a long, b long")
 
 
 def _pairs_of(node: np.ndarray, root: np.ndarray, n: np.ndarray, maps: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +148,9 @@ def _listed_pairs(percent: int):
     """From members of lists, in blocks (v, i, j) of two parts of a list, the pairs a > b that may reach the threshold;
     a pair counts in the least of the lists that both are in."""
 
-    def done(group: pa.Table) -> pa.RecordBatch | None:
+    def done(v: int, i: int, j: int, group: pa.Table) -> pa.RecordBatch | None:
         col = lambda c: group.column(c).combine_chunks()
         node, root, n, part = (col(c).to_numpy() for c in ("node", "root", "n", "part"))
-        i, j, v = (group.column(c)[0].as_py() for c in ("i", "j", "v"))
         maps = np.frombuffer(b"".join(x.as_buffer() for x in col("map")), np.uint64).reshape(len(node), _MAP)
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         x, y = _pairs_of(node, root, n, maps, left, right, percent)
@@ -170,59 +167,52 @@ def _listed_pairs(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[x], node[y])), pa.array(np.minimum(node[x], node[y]))], names=["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("v", "i", "j")], 1)
-            at = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-            for begin, end in zip(at, at[1:]):
-                if now is not None and now != tuple(keys[begin]):
-                    if out := done(pa.Table.from_batches(held)):
-                        yield out
-                    held = []
-                now = tuple(keys[begin])
-                held.append(batch.slice(begin, end - begin))
-        if held and (out := done(pa.Table.from_batches(held))):
-            yield out
+        for key, group in groups_of(batches, ("v", "i", "j")):
+            if (out := done(*key, group)) is not None:
+                yield out
 
     return rows
 
 
-def _run(percent: int) -> int:
-    """Retained values in a list's key: as many as pairs at the threshold have in a row almost surely."""
-    return 3 if percent >= 80 else 2 if percent >= 65 else 1
+def _needed(n: Column, percent: int) -> Column:
+    """Retained values that a set of n shingles shares with any set at the threshold: exactly where the union is less
+    than a sketch, else the mean less five standard deviations."""
+    p = percent / 100
+    usual = max(1, int(K * p - 5 * (K * p * (1 - p)) ** 0.5))
+    return F.when(n <= int(K * p), F.ceil(n * percent / 100 - 1e-9)).otherwise(usual).cast("int")
 
 
-def _lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """v, node: the inverted lists, by runs of values, that more than one node is in."""
+def _lists(nodes: DataFrame, percent: int, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """v, node, weight: the inverted lists that more than one node reads, and how long those of a node are together."""
     held = F.size("sketch")
-
-    def runs(length: int) -> Column:
-        own = F.transform(F.sequence(F.lit(0), held - length), lambda i: F.xxhash64(F.lit(length), F.slice("sketch", i + 1, length)))
-        return F.when((held >= length) & ((F.lit(length) == _run(percent)) | (held <= FEW)), own).otherwise(F.array().cast("array<long>"))
-
-    listed = nodes.select("node", F.explode(F.array_distinct(F.concat(*map(runs, range(1, _run(percent) + 1))))).alias("v"))
-    common = cut(listed.groupBy("v").agg(F.count("*").alias("many")).where("many > 1"))
-    kept = cut(listed.join(common, "v").select("v", "node", "many"))
-    return kept.join(cut(kept.groupBy("node").agg(F.sum("many").alias("weight"))), "node").select("v", "node", "weight")
-
-
-def _families(pairs: DataFrame) -> DataFrame:
+    retained = nodes.select("node", (held - _needed(F.col("n"), percent) + 1).cast("int").alias("rarest"), held.alias("held"), F.explode("sketch").alias("v"))
+    common = retained.groupBy("v").agg(F.count("*").alias("many")).where("many > 1")
+    by_node = retained.join(common, "v").groupBy("node", "rarest", "held").agg(F.sort_array(F.collect_list(F.struct("many", "v"))).alias("e"))
+    # values that no other node retains come first in the order
+    read = by_node.select("node", F.explode(F.slice("e", 1, F.greatest(F.col("rarest") - F.col("held") + F.size("e"), F.lit(0)))).alias("e")).select("node", "e.v")
+    read = own(read)
+    shared = read.join(read.groupBy("v").agg(F.count("*").alias("many")).where("many > 1"), "v")
+    shared = own(shared.select("v", "node", "many"))
+    return own(shared.join(shared.groupBy("node").agg(F.sum("many").alias("weight")), "node").select("v", "node", "weight"))
+
+
+def _families(pairs: DataFrame, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """k1, k2, a, b: the pairs of a family of candidates, in blocks of two parts of it of about BLOCK members."""
-    pairs = cut(pairs)
-    roots = components(pairs)
-    parts = cut(roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
-    placed = cut(roots.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
+    pairs = own(pairs)
+    found = components(pairs)
+    roots = own(found)
+    forget(found)
+    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = own(roots.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
     a, b = (placed.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("part").alias(f"part_{c}")) for c in ("a", "b"))
     low, high = F.least("part_a", "part_b"), F.greatest("part_a", "part_b")
     return pairs.join(a, "a").join(b, "b").select(F.col("root_a").alias("k1"), (low.cast("long") * (1 << 31) + high).alias("k2"), "a", "b")
 
 
-def _links(nodes: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, size: int, percent: int, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs a > b of nodes at the threshold that join all nodes which chains of such pairs join."""
-    links, roots, before = None, None, None
+    found: list[DataFrame] = []
+    roots, before = None, None
     for turn in range(ROUNDS + 1):
         tagged = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").select("v", "node", "weight", F.coalesce("root", "node").alias("root"))
         # first the member that stands in the longest lists; then any of the largest class
@@ -230,60 +220,68 @@ def _links(nodes: DataFrame, lists: DataFrame, sets: DataFrame, percent: int) ->
         groups = tagged.groupBy("v", "root").agg(F.count("*").alias("c"), F.max(F.struct(rank.alias("rank"), "node")).alias("one"))
         most = F.max(F.struct((F.col("c") if turn else F.col("one.rank")).alias("by"), F.col("one.node").alias("node"), "root"))
         groups = groups.groupBy("v").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), most.alias("most"))
-        apart = cut(groups.where("m * m > q").select("v", "m", F.col("most.root").alias("pivot_root"), F.col("most.node").alias("pivot"), (F.col("m") * F.col("m") - F.col("q")).alias("cross")))
+        apart = own(groups.where("m * m > q").select("v", "m", F.col("most.root").alias("pivot_root"), F.col("most.node").alias("pivot"), (F.col("m") * F.col("m") - F.col("q")).alias("cross")))
         cross, rows = apart.agg(F.coalesce(F.sum("cross"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if not cross:
             break
         members = tagged.join(apart, "v")
         # pivots go on while they are of use
-        last = turn == ROUNDS or turn > 0 and (cross <= 4 * BLOCK * rows or cross > 0.8 * before)
+        last = turn == ROUNDS or turn > 0 and (cross <= LISTED * rows or cross > 0.8 * before)
         before = cross
         if last:
-            members = cut(members.select("v", "node", "root", F.ceil(F.col("m") / (4 * BLOCK)).cast("int").alias("parts")))
-            every = cut(members.groupBy("node").agg(F.collect_list("v").alias("every")).join(nodes, "node"))
+            members = own(members.select("v", "node", "root", F.ceil(F.col("m") / LISTED).cast("int").alias("parts")))
+            every = members.groupBy("node").agg(F.collect_list("v").alias("every")).join(nodes, "node")
             placed = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             placed = placed.select("v", "node", "root", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
             blocks = placed.join(every, "node").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
-            keyed = _families(blocks.mapInArrow(_listed_pairs(percent), "a long, b long"))
+            keyed = _families(blocks.mapInArrow(_listed_pairs(percent), "a long, b long"), own)
         else:
             pairs = members.where("root <> pivot_root").groupBy("pivot", "node").agg(F.max("m").alias("m"))
             part = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))
             keyed = pairs.select(F.col("pivot").alias("k1"), part.alias("k2"), F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-        found = _similar(keyed, sets, percent)
-        links = cut(found if links is None else links.union(found))
+        found.append(own(_similar(own(keyed), texts, size, percent)))
         if last:
             break
         forget(roots)
+        links = found[0]
+        for more in found[1:]:
+            links = links.union(more)
         roots = components(links)
-    return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if links is None else links
+    if not found:
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    # what rounds before the last have joined is in roots
+    links = found[-1] if roots is None else found[-1].union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = own(links)
+    forget(roots)
+    return links
 
 
 def _classes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """id, a, b, n, component and kept of each row of docs; see near_duplicates."""
+    """id, a, b, n, component and kept of each row of docs, stored; see near_duplicates."""
     a, b = row_keys(key, text)
-    keyed = in_small_batches(docs).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), a.alias("_a"), b.alias("_b"))
-    rows = cut(keyed.mapInArrow(_sketches(shingle, "_text", "_id", K), _SKETCHED))
-    full = rows.where("n > 0 and id is not null")
-    # documents of one set are one node, named by its least key; the few that a repeated key would confuse, by hash
-    nodes = full.groupBy("same1", "same2").agg(F.min(F.struct("id", "a", "b", "n", "sketch", "map")).alias("one")).select("same1", "same2", "one.*")
-    nodes = cut(nodes)
-    several = cut(nodes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("again")))
-    named = F.when(F.col("again").isNull(), F.col("id")).otherwise(F.xxhash64("id", "same1", "same2"))
-    nodes = nodes.join(several, F.col("id") == F.col("again"), "left").withColumn("node", named).drop("again")
-    lists = cut(_lists(nodes, percent))
-    listed = cut(nodes.select("node", "a", "b").join(lists.select("node").distinct(), "node", "left_semi"))
-    texts = keyed.join(listed.select("node", "a", "b").hint("shuffle_hash"), (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")))
-    sets = texts.select("_a", "_b", "_text", "node").dropDuplicates(["_a", "_b"]).mapInArrow(_sets(shingle, "_text"), "node long, set binary")
-    # bucketed by node, so that joins with it move the other side only
-    with bucketed(sets, "node") as sets:
-        links = _links(nodes.select("node", "n", "map"), lists, sets, percent)
-    roots = components(links)
-    classes = nodes.join(roots, "node", "left").select("same1", "same2", "id", F.coalesce("root", "node").alias("root"))
-    least = classes.groupBy("root").agg(F.min("id").alias("least"))
-    classes = cut(cut(classes).join(cut(least), "root").select("same1", "same2", "least"))
-    own = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
-    out = rows.join(classes, ["same1", "same2"], "left")
-    return out.select("id", "a", "b", "n", own.alias("component"), (F.col("id").isNull() | (own == F.col("id"))).alias("kept"))
+    keyed = in_small_batches(docs).select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), a.alias("_a"), b.alias("_b"))
+    with tables() as own:
+        rows = own(keyed.mapInArrow(_sketches(shingle, "_text", "_id", K), _SKETCHED))
+        full = rows.where("n > 0 and id is not null")
+        # documents of one set are one node, named by its least key; the few that a repeated key would confuse, by hash
+        nodes = own(full.groupBy("same1", "same2").agg(F.min(F.struct("id", "a", "b", "n", "sketch", "map")).alias("one")).select("same1", "same2", "one.*"))
+        several = nodes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("again"))
+        named = F.when(F.col("again").isNull(), F.col("id")).otherwise(F.xxhash64("id", "same1", "same2"))
+        nodes = nodes.join(own(several), F.col("id") == F.col("again"), "left").withColumn("node", named).drop("again")
+        lists = _lists(nodes, percent, own)
+        listed = own(nodes.select("node", "a", "b").join(lists.select("node").distinct(), "node", "left_semi"))
+        wanted = keyed.join(listed, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b"))).select("_a", "_b", "node", F.col("_text").alias("text"))
+        # bucketed by node, so that joins with it move the other side only
+        with bucketed(wanted.dropDuplicates(["_a", "_b"]).select("node", "text"), "node") as texts:
+            links = _links(nodes.select("node", "n", "map"), lists, texts, shingle, percent, own)
+        roots = components(links)
+        classes = own(nodes.join(roots, "node", "left").select("same1", "same2", "id", F.coalesce("root", "node").alias("root")))
+        forget(roots)
+        least = classes.groupBy("root").agg(F.min("id").alias("least"))
+        classes = own(classes.join(least, "root").select("same1", "same2", "least"))
+        own_class = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
+        out = rows.join(classes, ["same1", "same2"], "left")
+        return cut(out.select("id", "a", "b", "n", own_class.alias("component"), (F.col("id").isNull() | (own_class == F.col("id"))).alias("kept")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -293,14 +291,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     Two documents are linked where 100 * intersection >= percent * union of their shingles, lower-cased in A-Z. Texts
     without words (null, empty) are linked with nothing. Rows of equal key and text fare alike; rows of equal key with
     other texts are documents of their own. A row whose key is null is linked with nothing, has no component and is
-    kept. An empty table gives an empty one.
+    kept. Texts of any length are compared whole. Other columns of docs, whatever their names, play no part and are not
+    returned. An empty table gives an empty one.
     """
     found = _classes(docs, key, text, shingle, percent)
     return found.select(F.col("id").alias(key), F.col("n").cast("long").alias("near_shingles"), F.col("component").alias("near_component"), F.col("kept").alias("near_kept"))
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Of each class of near-duplicates the row with the least key, in all its columns; see near_duplicates."""
-    gone = cut(_classes(docs, key, text, shingle, percent).where(~F.col("kept")).select(F.col("a").alias("_ka"), F.col("b").alias("_kb")).distinct())
-    a, b = row_keys(key, text)
-    return docs.join(gone, (a == gone["_ka"]) & (b == gone["_kb"]), "left_anti")
+    """Of each class of near-duplicates the rows with the least key, in all their columns, whatever their names; see
+    near_duplicates, also for nulls, empty and long texts, ties, repeated rows and empty tables."""
+    found = _classes(docs, key, text, shingle, percent)
+    gone = cut(found.where("not kept").select("a", "b").distinct())
+    forget(found)
+    plain, names = anonymous(docs)
+    a, b = row_keys(names[key], names[text])
+    return plain.join(gone.toDF("_ka", "_kb"), (a == F.col("_ka")) & (b == F.col("_kb")), "left_anti").toDF(*docs.columns)

@@ -71,7 +71,14 @@ def occurrences(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's features, and the share of each in all occurrences."""
     found = np.concatenate([ids[a[0] : b[0]] for ids, a, b in _features([text])])
     ids, count = np.unique(found, return_counts=True)
-    return ids, (count / (len(found) + SMOOTH)).astype(np.float32)
+    return ids.astype(np.int32), (count / (len(found) + SMOOTH)).astype(np.float32)
+
+
+def _features_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in tx.blocks(batches, "t"):
+        found = [occurrences(bytes(t)) for t in texts]
+        packed = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("h", "k", "label_value")), *packed], names=["h", "k", "label", "ids", "share"])
 
 
 def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
@@ -109,13 +116,16 @@ def in_holdout(key: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS) -> Model:
     """A model of the labelled rows outside the hold-out, of at most `most_rows`. A key with several labels counts
-    with the least; labels other than 0 and 1, and null keys, are left out. Without any label a model of even odds."""
+    with the least; labels other than 0 and 1, and null keys, are left out. Texts of any length are learned from whole;
+    null ones are empty. Repeated rows of docs count as often as they come, within the bound. Columns besides key, text
+    and label play no part. Without any label, as of empty tables, a model of even odds."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~in_holdout(key)).groupBy(F.col(key).alias("label_key")).agg(F.min(label).cast("int").alias("label_value"))
     sample = known.orderBy(F.xxhash64("label_key"), "label_key").limit(most_rows)
-    chosen = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(sample), F.col("k") == F.col("label_key"))
-    # what a repeated key adds is bounded as well
-    rows = chosen.select(F.xxhash64("k", "t").alias("h"), "k", "t", "label_value").orderBy("h", "k").limit(most_rows).select("t", "label_value").collect()
-    return train([occurrences(r["t"].encode()) for r in rows], np.array([r["label_value"] for r in rows], np.int64))
+    chosen = in_small_batches(docs).select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(sample), F.col("k") == F.col("label_key"))
+    counted = chosen.select(F.xxhash64("k", "t").alias("h"), F.col("k").cast("string").alias("k"), "t", "label_value").mapInArrow(_features_of_rows, "h long, k string, label int, ids binary, share binary")
+    # what a repeated key adds is bounded as well; a row has at most a number and a share for each bucket
+    rows = counted.orderBy("h", "k").limit(most_rows).select("ids", "share", "label").collect()
+    return train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows], np.array([r["label"] for r in rows], np.int64))
 
 
 def _scored(model: Model, text: str, columns: list[str], out: str):
@@ -137,7 +147,12 @@ def _scored(model: Model, text: str, columns: list[str], out: str):
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """All rows of docs with their columns (or those named) and quality_score, the chance of label 1, from the whole
-    text alone. Null and empty texts get what the learned bias says. Nothing else of a row enters its score."""
+    text alone. Nothing else of a row enters its score.
+
+    Null and empty texts get what the learned bias says. Texts of any length are scored whole. Rows are scored one by
+    one, so repeated rows fare alike. Other columns pass through; where docs has a column quality_score, the result's
+    has underscores before it. An empty table gives an empty one.
+    """
     columns = docs.columns if columns is None else columns
     out = free("quality_score", docs.columns)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in columns]

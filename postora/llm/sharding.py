@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postora.llm.frames import anonymous, free, with_running_total
+from postora.llm.frames import anonymous, celled, cut, free, with_running_total
 
 
 @dataclass(frozen=True)
@@ -61,26 +61,35 @@ class Topology:
         return Topology(tuple(changed(r) for r in self.regions))
 
 
-def _drawn(path: str, children: list[Node], keys: list[Column]) -> Column:
-    """The place of the child with the least draw; equal draws go to the first."""
-    def draw(c: Node) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(f"{path}/{c.name}"), *keys), 11) + 1).cast("double") / float(2**53)
-        return -F.log(u) / c.weight if c.weight > 0 else F.lit(float("inf"))
+def _draw(path: str, child: Node, key: Column) -> Column:
+    """An exponential of the child's weight as rate, from 52 bits of a hash of its path and the key."""
+    if child.weight <= 0:
+        return F.lit(float("inf"))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{path}/{child.name}|"), key)), 1, 13), 16, 10).cast("long")
+    return -F.log((bits + 1).cast("double") / float(2**52)) / child.weight
+
 
+def _drawn(path: str, children: list[Node], key: Column) -> Column:
+    """The place of the child with the least draw; equal draws go to the first."""
     if len(children) == 1:
         return F.lit(0)
-    return F.array_min(F.array(*[F.struct(draw(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(children)]))["i"]
+    return F.array_min(F.array(*[F.struct(_draw(path, c, key).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(children)]))["i"]
+
+
+def _text_of(key: str) -> Column:
+    """A key as it is drawn with; null is a key of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
 
 
 def place(df: DataFrame, key: str, topology: Topology, out: str) -> DataFrame:
     """df with `out`, the shard of its key: it depends on the key and the topology alone. Null is a key."""
-    keys = [F.col(key).isNull(), F.col(key)]
-    at, level = free("node", [*df.columns, out]), [("", list(topology.regions))]
+    drawn, level = _text_of(key), [("", list(topology.regions))]
+    at = free("node", [*df.columns, out])
     df = df.withColumn(at, F.lit(0))
     while True:  # a level of the tree a round: `at` numbers the nodes of the level
         below, column = [], None
         for i, (path, nodes) in enumerate(level):
-            chosen = _drawn(path, nodes, keys) + len(below)
+            chosen = _drawn(path, nodes, drawn) + len(below)
             column = F.when(F.col(at) == i, chosen) if column is None else column.when(F.col(at) == i, chosen)
             below += [(f"{path}/{n.name}", n) for n in nodes]
         df = df.withColumn(at, column)
@@ -90,21 +99,33 @@ def place(df: DataFrame, key: str, topology: Topology, out: str) -> DataFrame:
         level = [(p, list(n.children)) for p, n in below]
 
 
+def grown_place(key: str, topology: Topology, shard: Column) -> Column:
+    """The shard of a key once `topology.grown()` holds, from its shard before: the new region's draw against the least
+    of the others."""
+    *before, new = topology.grown().regions
+    others = F.least(*[_draw("", r, _text_of(key)) for r in before]) if len(before) > 1 else _draw("", before[0], _text_of(key))
+    return F.when(_draw("", new, _text_of(key)) < others, F.lit(new.shards()[0].shard)).otherwise(shard).cast("int")
+
+
 def assign(docs: DataFrame, topology: Topology, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of docs, with shard_size (UTF-8 bytes and 1), shard_crc32 (of the text's UTF-8, 0 for
     null), shard, shard_slot (from 0 without gaps in each shard, in an order drawn from key and text) and shard_grown,
     the shard once `topology.grown()` holds.
 
     Null keys are one key, and repeated keys share a shard; slots of equal rows come in any order among them. Null
-    texts count no bytes. An empty table gives an empty one.
+    texts count no bytes, texts of any length all of theirs. Columns of any name pass through; where docs has a column
+    of a result's name, that result has underscores before its own. An empty table gives an empty one.
     """
     outs = ("shard_size", "shard_crc32", "shard", "shard_slot", "shard_grown")
     named = [*docs.columns, *(free(n, docs.columns) for n in outs)]
     docs, names = anonymous(docs)
     key, text, own = names[key], names[text], "shard"
-    c = {n: f"shard_{n}" for n in ("size", "crc32", "slot", "grown", "order")}
+    c = {n: f"shard_{n}" for n in ("size", "crc32", "slot", "grown", "order", "cell")}
     sized = docs.withColumn(c["size"], (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"))
-    sized = sized.withColumn(c["crc32"], F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long"))
-    placed = place(place(sized, key, topology, own), key, topology.grown(), c["grown"])
+    sized = sized.withColumn(c["crc32"], F.coalesce(F.crc32(F.col(text).cast("string").cast("binary")), F.lit(0)).cast("long"))
+    placed = place(sized, key, topology, own)
+    placed = placed.withColumn(c["grown"], grown_place(key, topology, F.col(own)))
     placed = placed.withColumn(c["order"], F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(c["crc32"]).cast("string"))))
-    return with_running_total(placed, [own], [c["order"], key, c["size"]], F.lit(1), c["slot"]).select(*docs.columns, *outs).toDF(*named)
+    placed = celled(placed, own, c["order"], c["cell"])
+    cells = cut(placed.groupBy(c["cell"], own).agg(F.count("*").alias("s")))
+    return with_running_total(placed, cells, own, c["cell"], [c["order"], key, c["size"]], F.lit(1), c["slot"]).select(*docs.columns, *outs).toDF(*named)

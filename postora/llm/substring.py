@@ -3,8 +3,9 @@
 Of a document's positions only those whose place modulo a period lies in a difference cover are anchored: a hash of
 the `size - period + 1` words from there. For any two places there is a shift below the period that brings both into
 the cover, so two equal windows of `size` words hold equal anchors at the same shift. Anchors that occur once are
-dropped. Those left are extended: the windows of `size` words that hold one are hashed (80 bits of two hashes), and windows whose
-hash occurs again are the repeats.
+dropped. Those left are extended: the windows of `size` words that hold one are hashed (96 bits of two hashes of their
+words, neither of which a regular structure of words can bring to collide), and windows whose hash occurs again are the
+repeats. Among 10**13 windows, two that differ share a hash at a chance of about one in a thousand.
 
 Occurrences are counted in each map task before they are shuffled, a block at a time: what a block holds twice needs
 no answer, and only one row of it is sent, so that a passage in a third of all documents costs a row a block.
@@ -26,11 +27,11 @@ from postora.llm.frames import anonymous, free, in_small_batches, row_keys
 
 #: Occurrences a task holds before it counts and sends them.
 HELD = 1 << 20
-#: A row is a place (x: 16 bits of a second hash, then 32 bits of position), so many places of a block without saying
-#: where (x: the complement of the hash's bits and the number), or a place already known to repeat (x: _KNOWN and the
-#: position). In this order and in the order of documents, rows take the least room in a shuffle.
-_SENT = "h long, x long, a long, b int"
-_KNOWN = 1 << 62
+#: A row has the hash h of what stands at a place, the keys a and b of its document, and x: 32 bits of a second hash,
+#: then the place. Without keys it says how many places of a block hold the same, their number in x. With _KNOWN in x
+#: the place is known to repeat. In this order and in the order of documents, rows take the least room in a shuffle.
+_SENT = "h long, x long, a long, b long"
+_KNOWN, _LOW = 1 << 31, (1 << 32) - 1
 
 
 def difference_cover(period: int) -> list[int]:
@@ -65,16 +66,16 @@ def _counted(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     n[order] = np.repeat(count, count)
     # rows stay in the order of documents, in which they take the least room; known places go by their document
     several, once, known = order[at[count > 1]], n == 1, n > 1
-    by_row = tx.mixed(a[known].view(np.uint64) * np.uint64(31) + b[known].astype(np.uint64))
-    none = lambda x: np.zeros(len(several), x.dtype)
+    by_row = tx.mixed(a[known].view(np.uint64) ^ b[known].view(np.uint64))
     second, place = g.astype(np.int64) << 32, pos.astype(np.int64)
+    none = np.arange(len(h) + len(several)) - int(once.sum())
+    none = (none >= 0) & (none < len(several))
     columns = (
-        np.concatenate([h[once], h[several], by_row]).view(np.int64),
-        np.concatenate([second[once] | place[once], ~(second[several] | n[several]), place[known] | _KNOWN]),
-        np.concatenate([a[once], none(a), a[known]]),
-        np.concatenate([b[once], none(b), b[known]]),
+        pa.array(np.concatenate([h[once], h[several], by_row]).view(np.int64)),
+        pa.array(np.concatenate([second[once] | place[once], second[several] | n[several], place[known] | _KNOWN])),
+        *(pa.array(np.concatenate([k[once], k[several], k[known]]), mask=none) for k in (a, b)),
     )
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "x", "a", "b"])
+    batch = pa.RecordBatch.from_arrays(list(columns), names=["h", "x", "a", "b"])
     for i in range(0, batch.num_rows, 1 << 16):
         yield batch.slice(i, 1 << 16)
 
@@ -108,9 +109,9 @@ def _anchors(size: int, text: str):
             row, (a, b) = words.row_of(), _keys(batch)
             place = np.arange(len(words)) - words.first[row]
             starts = np.flatnonzero(cover[place % period] & (place + length <= words.counts()[row]) & (words.counts()[row] >= size))
-            h = tx.windows(words, words.hashes(), length, starts)
+            h = tx.runs(words.hashes(), length)[starts]
             row = row[starts]
-            yield h, np.zeros(len(h), np.int32), a[row], b[row], place[starts].astype(np.int32)
+            yield h, np.zeros(len(h), np.uint32), a[row], b[row], place[starts].astype(np.int32)
 
     return lambda batches: _gathered(rows(batches))
 
@@ -131,8 +132,8 @@ def _extended(size: int, text: str):
             np.add.at(marks, low[good], 1)
             np.add.at(marks, high[good] + 1, -1)
             starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-            hashes, row = words.hashes(), words.row_of()[starts]
-            h, g = tx.windows(words, hashes, size, starts, 3), (tx.windows(words, words.hashes(4), size, starts, 5) >> np.uint64(48)).astype(np.int32)
+            row = words.row_of()[starts]
+            h, g = tx.runs(words.hashes(), size, 3)[starts], (tx.runs(words.hashes(4), size, 5)[starts] >> np.uint64(32)).astype(np.uint32)
             yield h, g, a[row], b[row], (starts - words.first[row]).astype(np.int32)
 
     return lambda batches: _gathered(rows(batches))
@@ -140,15 +141,14 @@ def _extended(size: int, text: str):
 
 def _places(sent: DataFrame) -> DataFrame:
     """The rows' keys and the places in them that occur again anywhere."""
-    low = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
-    x = F.col("x")
-    plain = F.when(x < 0, F.bitwise_not(x)).otherwise(x)
-    number = F.when(x < 0, low(F.bitwise_not(x))).when(x >= _KNOWN, 0).otherwise(1)
+    x, low = F.col("x"), F.col("x").bitwiseAND(F.lit(_LOW))
+    known = low >= _KNOWN
+    number = F.when(F.col("a").isNull(), low).when(known, 0).otherwise(1)
     # dealt by h alone, so that what follows from x isn't shuffled
-    dealt = sent.repartition("h").withColumn("g", F.shiftright(plain, 32).bitwiseAND(F.lit(65535)))
+    dealt = sent.repartition("h").withColumn("g", F.shiftright(x, 32))
     total = dealt.withColumn("total", F.sum(number).over(Window.partitionBy("h", "g")))
-    again = total.where((x >= _KNOWN) | (x >= 0) & (F.col("total") > 1))
-    return again.groupBy(F.col("a").alias("_ka"), F.col("b").alias("_kb")).agg(F.collect_set(low(x).cast("int")).alias("_hits"))
+    again = total.where(F.col("a").isNotNull() & (known | (F.col("total") > 1)))
+    return again.groupBy(F.col("a").alias("_ka"), F.col("b").alias("_kb")).agg(F.collect_set(low.bitwiseAND(F.lit(_KNOWN - 1)).cast("int")).alias("_hits"))
 
 
 def _without(size: int, text: str, names: list[str]):
@@ -162,7 +162,7 @@ def _without(size: int, text: str, names: list[str]):
                 n_words.append(len(words))
                 if starts:
                     marks = np.zeros(len(words) + 1, np.int32)
-                    marks[starts] += 1
+                    marks[starts] = 1  # a set of places
                     np.add.at(marks, np.asarray(starts) + size, -1)
                     keep = np.cumsum(marks[:-1]) == 0
                     gone = len(words) - int(keep.sum())
@@ -181,8 +181,10 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
     words, joined by one space). Windows are judged on the texts as they came.
 
     Words are runs of what is not ASCII white space. Null and empty texts have no words; texts of fewer than `size`
-    words lose none. Rows alike in key and text are copies of each other and lose every window; null keys are
-    ordinary keys. An empty table gives an empty one.
+    words lose none; texts of any length are judged whole, a task holding the words of one at a time. Rows alike in key
+    and text are copies of each other and lose every window; null keys are ordinary keys. Columns of any name pass
+    through; where docs has a column of a result's name, that result has underscores before its own. An empty table
+    gives an empty one.
     """
     outs = [free(f"repeat_{n}", docs.columns) for n in ("words", "removed", "kept")]
     plain, names = anonymous(in_small_batches(docs))
@@ -191,9 +193,9 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
     anchored = keyed.select("_a", "_b", names[text]).mapInArrow(_anchors(size, names[text]), _SENT)
     places = _places(anchored)
     on = lambda p: [F.col("_a") == p["_ka"], F.col("_b") == p["_kb"]]
-    extended = keyed.join(places.hint("shuffle_hash"), on(places)).mapInArrow(_extended(size, names[text]), _SENT)
+    extended = keyed.join(places, on(places)).mapInArrow(_extended(size, names[text]), _SENT)
     repeats = _places(extended)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields]
     schema = ", ".join([*fields, "words long", "removed long", "kept string"])
-    found = keyed.join(repeats.hint("shuffle_hash"), on(repeats), "left").mapInArrow(_without(size, names[text], plain.columns), schema)
+    found = keyed.join(repeats, on(repeats), "left").mapInArrow(_without(size, names[text], plain.columns), schema)
     return found.toDF(*docs.columns, *outs)

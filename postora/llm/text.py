@@ -1,8 +1,9 @@
-"""Whole texts as arrays of words, and hashes of words and of word windows, a block at a time.
+"""Whole texts as arrays of words, and hashes of words and of runs of words, a block at a time.
 
 A block is some Arrow rows of one task (about `BLOCK_BYTES` of text, one row at least), so that memory follows the
-block and not the partition. Null texts are empty texts. Hashes are polynomials modulo 2**64 over values drawn from a
-fixed generator, finished by a mixing step; equal input gives equal hashes on every executor.
+block and not the partition. Null texts are empty texts. A word's hash sums mixes of its 8-byte pieces with their places;
+a run's hash is mixed from the hashes of its two halves. Both go through a non-linear step at every stage, so words or
+runs of a regular structure collide no more often than others. Equal input gives equal hashes on every executor.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
 
-_DRAWN = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 1024, dtype=np.uint64)
-#: The value of each byte, and for each kind of hash an odd multiplier that is 3 modulo 8.
-_BYTE = _DRAWN[:256] * np.uint64(2) + np.uint64(1)
-_MULTIPLIERS = [int(x) << 3 & (1 << 64) - 1 | 3 for x in _DRAWN[256:264]]
+#: For each kind of hash a seed and two odd multipliers.
+_SEEDS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, (8, 3), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Masks of the first n bytes of a piece.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Separators of words: white space, or every ASCII byte but letters and digits.
 WHITE = np.zeros(256, bool)
@@ -37,31 +38,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of a multiplier and of its inverse modulo 2**64, as many as the longest block so far needs."""
-
-    def __init__(self, multiplier: int) -> None:
-        self.base, self.inverse = np.uint64(multiplier), np.uint64(pow(multiplier, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def take(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b)])) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = [_Powers(m) for m in _MULTIPLIERS]
-
-
-def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
-    """Hashes of values[start:end] for each start and end."""
-    up, down = _POWERS[kind].take(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 @dataclass
 class Words:
     """The words of a block: row i of it has words first[i] to first[i + 1]."""
@@ -84,8 +60,35 @@ class Words:
         """For each word, the end of its row's words."""
         return np.repeat(self.first[1:], self.counts())
 
+    def _pieces(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The 8-byte pieces of some words: where each word's begin, the word and the place of each, and its bytes."""
+        length = self.ends[which] - self.starts[which]
+        count = (length + 7) >> 3
+        begin = np.cumsum(count) - count
+        of = np.repeat(np.arange(len(which)), count)
+        place = np.arange(len(of)) - begin[of]
+        wide = np.ndarray(len(self.data) - 7, np.dtype("<u8"), buffer=self.data, strides=(1,))
+        return begin, of, place, wide[self.starts[which][of] + 8 * place] & _FIRST[np.minimum(length[of] - 8 * place, 8)]
+
     def hashes(self, kind: int = 0) -> np.ndarray:
-        return spans(_BYTE[self.data], self.starts, self.ends, kind)
+        seed, once, twice = _SEEDS[kind]
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        begin, _, place, piece = self._pieces(np.arange(len(self)))
+        each = mixed((piece ^ seed) + (place + 1).astype(np.uint64) * once)
+        return mixed(np.add.reduceat(each, begin) + (self.ends - self.starts).astype(np.uint64) * twice)
+
+    def numbers(self) -> np.ndarray:
+        """A number for each word; two words of the block have the same if and only if they are equal, byte by byte."""
+        _, first, which = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        like = first[which]
+        other = np.flatnonzero(like != np.arange(len(self)))
+        length = self.ends - self.starts
+        same = bool((length[other] == length[like[other]]).all()) and bool((self._pieces(other)[3] == self._pieces(like[other])[3]).all())
+        if same:
+            return which.astype(np.int64)
+        known: dict[bytes, int] = {}
+        return np.array([known.setdefault(self.word(i), len(known)) for i in range(len(self))], np.int64)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -93,7 +96,7 @@ class Words:
 
 def words_of(texts: list, separators: np.ndarray, lower: bool = False) -> Words:
     """texts: buffers of UTF-8. A word is a longest run of bytes that are no separators; 0x20 must be one."""
-    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    data = np.frombuffer(b" ".join([b"", *texts, b" " * 8]), np.uint8)
     if lower:
         data = _LOWER[data]
     edges = np.flatnonzero(np.diff(separators[data].view(np.int8))) + 1
@@ -132,24 +135,66 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             yield batch.slice(begin), texts[begin:]
 
 
-def windows(words: Words, hashes: np.ndarray, size: int, starts: np.ndarray, kind: int = 1) -> np.ndarray:
-    """Hashes of the windows of `size` words that begin at the words `starts`."""
-    return spans(hashes, starts, starts + size, kind)
+def runs(values: np.ndarray, size: int, kind: int = 1) -> np.ndarray:
+    """Hashes of all runs of `size` values, that from place i at i; none if there are fewer values."""
+    n, (seed, once, _) = len(values) - size + 1, _SEEDS[kind]
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    held, have = mixed(values ^ seed), 1
+    while 2 * have <= size:
+        held, have = mixed(held[:-have] * once + held[have:]), 2 * have
+    return held if have == size else mixed(held[:n] * once + held[size - have : size - have + n])
 
 
-def shingle_sets(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each row as sorted hashes, and where each row's begin. A row of fewer words than
-    `size` has the whole sequence as its one shingle, a row without words none."""
+def sums(values: np.ndarray, at: np.ndarray, kind: int = 3) -> np.ndarray:
+    """A hash of each stretch values[at[i] : at[i + 1]], whatever its order."""
+    seed, once, _ = _SEEDS[kind]
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mixed((values ^ seed) * once), out=total[1:])
+    return mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))
+
+
+def _shingles(words: Words, size: int, whole: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each row, sorted, and where each row's begin: of `whole` (a value for each run of `size`
+    words), and of rows of fewer words the one of `short`."""
     counts = words.counts()
     each = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     row = np.repeat(np.arange(len(counts)), each)
     base = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(each, out=base[1:])
-    starts = words.first[row] + np.arange(len(row)) - base[row]
-    found = spans(hashes, starts, np.minimum(starts + size, words.first[row + 1]), 2)
-    order = np.lexsort((found, row))
-    found, row = found[order], row[order]
+    found = np.empty(len(row), whole.dtype)
+    full = counts[row] >= size
+    found[full] = whole[(words.first[row] + np.arange(len(row)) - base[row])[full]]
+    found[~full] = short[row[~full]]
+    for begin, end in zip(base[:-1].tolist(), base[1:].tolist()):
+        found[begin:end].sort()
     new = np.ones(len(found), bool)
     new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
     found, row = found[new], row[new]
     return found, np.searchsorted(row, np.arange(len(counts) + 1))
+
+
+def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each row as sorted hashes, and where each row's begin. A row of fewer words than
+    `size` has the whole sequence as its one shingle, a row without words none."""
+    hashes, counts = words.hashes(), words.counts()
+    short = np.zeros(len(counts), np.uint64)
+    for r in np.flatnonzero((counts > 0) & (counts < size)).tolist():
+        short[r] = runs(hashes[words.first[r] : words.first[r + 1]], int(counts[r]), 4)[0]
+    return _shingles(words, size, runs(hashes, size, 2), short)
+
+
+def exact_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_sets(), with numbers in place of hashes: within the block two are the same if and only if the
+    shingles are, word by word."""
+    own, counts = words.numbers(), words.counts()
+    short, known = np.zeros(len(counts), np.int64), {}
+    for r in np.flatnonzero((counts > 0) & (counts < size)).tolist():
+        short[r] = -1 - known.setdefault(tuple(own[words.first[r] : words.first[r + 1]].tolist()), len(known))
+    held, have, n = own, 1, max(len(own) - size + 1, 0)
+    while n and have < size:
+        step = min(have, size - have)
+        left, right = held[: len(held) - step], held[step:]
+        held = np.unique(left * (int(right.max()) + 1) + right, return_inverse=True)[1].astype(np.int64)
+        have += step
+    return _shingles(words, size, held[:n], short)

@@ -27,22 +27,28 @@ REMEMBERED = 1 << 20
 
 
 class Vocabulary:
-    """Scores of pieces. The file's pieces are ranked, not weighed: a piece of rank r is scored as the r-th word of a
-    Zipf distribution, -log(r + 2). A byte without a piece of its own costs `alone`."""
+    """Scores of pieces, and a trie of them. The file's pieces are ranked, not weighed: a piece of rank r is scored as the
+    r-th word of a Zipf distribution, -log(r + 2). A byte without a piece of its own costs `alone`."""
 
     def __init__(self, pieces: list[bytes], alone: float | None = None) -> None:
         self.score = {p: -float(np.log(r + 2)) for r, p in reversed(list(enumerate(pieces))) if p}
         self.alone = alone if alone is not None else -float(np.log(len(pieces) + 2)) - 10
-        self.longest = max(map(len, self.score), default=1)
-        hashes = _spelled(list(self.score))
-        order = np.argsort(hashes)
-        self.hashes, self.scores = hashes[order], np.array(list(self.score.values()))[order]
-        self.sizes = {len(p) for p in self.score}
-        bits = max(8, int(np.ceil(np.log2(len(hashes) + 1))) + 3)
-        self.shift = np.uint64(64 - bits)
-        self.begin = np.searchsorted(self.hashes >> self.shift, np.arange(1 << bits, dtype=np.uint64))
-        self.filled = np.zeros(1 << bits, bool)
-        self.filled[self.hashes >> self.shift] = True
+        #: From a node of the trie (0: its root) and a byte, as node * 256 + byte, to the next node.
+        self.after: dict[int, int] = {}
+        ends = [-np.inf]
+        for piece, score in self.score.items():
+            node = 0
+            for byte in piece:
+                step = node << 8 | byte
+                if step not in self.after:
+                    self.after[step] = len(ends)
+                    ends.append(-np.inf)
+                node = self.after[step]
+            ends[node] = score
+        #: By node, the score of the piece that ends there, -inf if none does.
+        self.ends = np.array(ends)
+        self._steps = np.array(sorted(self.after), np.int64)
+        self._next = np.array([self.after[s] for s in self._steps.tolist()], np.int64)
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -52,48 +58,37 @@ class Vocabulary:
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         return Vocabulary([model.id_to_piece(i).encode() for i in plain])
 
-    def found(self, hashes: np.ndarray) -> np.ndarray:
-        """Scores of pieces by hash, -inf where there is none."""
-        out = np.full(len(hashes), -np.inf)
-        maybe = np.flatnonzero(self.filled[hashes >> self.shift])
-        wanted = hashes[maybe]
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        good = self.hashes[at] == wanted
-        out[maybe[good]] = self.scores[at[good]]
-        return out
+    def step(self, nodes: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+        """The next nodes, -1 where no piece goes on so."""
+        steps = nodes << 8 | bytes_
+        if not len(self._steps):
+            return np.full(len(steps), -1)
+        at = np.minimum(np.searchsorted(self._steps, steps), len(self._steps) - 1)
+        return np.where(self._steps[at] == steps, self._next[at], -1)
 
     def tokens(self, word: bytes) -> int:
-        """Pieces of the best segmentation of a word; of equal scores, the one with fewer pieces at the last cut."""
-        best, count = [0.0], [0]
-        for end in range(1, len(word) + 1):
-            options = [(best[end - 1] + self.alone, -count[end - 1] - 1)]
-            for n in range(1, min(self.longest, end) + 1):
-                own = self.score.get(word[end - n : end])
-                if own is not None:
-                    options.append((best[end - n] + own, -count[end - n] - 1))
-            score, fewer = max(options)
-            best.append(score)
-            count.append(-fewer)
-        return count[-1]
-
-
-_POWERS = tx._Powers(tx._MULTIPLIERS[7])
-
-
-def _spelled(pieces: list[bytes]) -> np.ndarray:
-    """Hashes of pieces as the trie computes them: sums of byte values times powers, from the last byte backward."""
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    ends = np.cumsum([len(p) for p in pieces])
-    starts = ends - np.array([len(p) for p in pieces])
-    out, base = np.zeros(len(pieces), np.uint64), _POWERS.base
-    for k in range(int((ends - starts).max(initial=0))):
-        live = starts + k < ends
-        out[live] = out[live] * base + tx._BYTE[data[starts[live] + k]]
-    return tx.mixed(out)
+        """Pieces of the best segmentation of a word, of equal scores the fewest."""
+        best, count, begun = 0.0, 0, []
+        for byte in word:
+            begun.append((0, best, count))
+            best, count, going = best + self.alone, count + 1, []
+            for node, score, tokens in begun:
+                node = self.after.get(node << 8 | byte)
+                if node is not None:
+                    going.append((node, score, tokens))
+                    value = score + self.ends[node]
+                    if value > best or value == best and tokens + 1 < count:
+                        best, count = value, tokens + 1
+            begun = going
+        return count
 
 
 def trie_counts(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
-    """Tokens of each word; words are sorted and distinct."""
+    """Tokens of each word; words are sorted and distinct.
+
+    At each depth a node of the words' trie has its best score and count, and the pieces that have begun above it and
+    may yet end below: each a node of the vocabulary's trie with the score and count of where it began.
+    """
     n = len(words)
     out = np.zeros(n, np.int64)
     if not n:
@@ -104,44 +99,41 @@ def trie_counts(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
     flat = np.frombuffer(b"".join(words), np.uint8)
     row = np.repeat(np.arange(n), length)
     grid[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
-    # node[i] at a depth: the prefix of word i; hashes, best scores and counts by node of each depth
+    # node[i] at a depth: the prefix of word live[i]
     live, node = np.arange(n), np.zeros(n, np.int64)
-    levels = [(np.zeros(1, np.uint64), np.zeros(1), np.zeros(1, np.int64))]
-    parents: list[np.ndarray] = [np.zeros(1, np.int64)]
-    out[length == 0] = 0
+    best, count = np.zeros(1), np.zeros(1, np.int64)
+    # pieces begun, by the node they stand at
+    at, piece, score, tokens = (np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64))
     for depth in range(1, deep + 1):
         longer = length[live] >= depth
         live, node = live[longer], node[longer]
-        byte = grid[live, depth - 1]
+        byte = grid[live, depth - 1].astype(np.int64)
         new = np.ones(len(live), bool)
         new[1:] = (node[1:] != node[:-1]) | (byte[1:] != byte[:-1])
-        first = np.flatnonzero(new)
-        parent = node[first]
-        own = levels[depth - 1][0][parent] * _POWERS.base + tx._BYTE[byte[first]]
-        best, count = levels[depth - 1][1][parent] + vocabulary.alone, levels[depth - 1][2][parent] + 1
-        ancestor, up = parent, depth - 1
-        for size in range(1, min(vocabulary.longest, depth) + 1):
-            if size in vocabulary.sizes:
-                begin, score, tokens = (x[ancestor] for x in levels[up])
-                value = vocabulary.found(tx.mixed(own - begin * _power(size))) + score
-                better = (value > best) | ((value == best) & (tokens + 1 < count))
-                best[better], count[better] = value[better], tokens[better] + 1
-            if up:
-                ancestor = parents[up][ancestor]
-            up -= 1
-        levels.append((own, best, count))
-        parents.append(parent)
+        parent, byte = node[new], byte[new]
+        at, piece = np.concatenate([at, np.arange(len(best))]), np.concatenate([piece, np.zeros(len(best), np.int64)])
+        score, tokens = np.concatenate([score, best]), np.concatenate([tokens, count])
+        order = np.argsort(at, kind="stable")
+        begin = np.searchsorted(at[order], np.arange(len(best) + 1))
+        many = (begin[1:] - begin[:-1])[parent]
+        own = np.repeat(np.arange(len(parent)), many)
+        which = order[np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + begin[parent][own]]
+        after = vocabulary.step(piece[which], byte[own])
+        going = after >= 0
+        at, piece, score, tokens = own[going], after[going], score[which[going]], tokens[which[going]]
+        ending = np.isfinite(vocabulary.ends[piece])
+        to = np.concatenate([np.arange(len(parent)), at[ending]])
+        value = np.concatenate([best[parent] + vocabulary.alone, score[ending] + vocabulary.ends[piece[ending]]])
+        number = np.concatenate([count[parent], tokens[ending]]) + 1
+        order = np.lexsort((number, -value, to))
+        first = order[np.searchsorted(to[order], np.arange(len(parent)))]
+        best, count = value[first], number[first]
         node = np.cumsum(new) - 1
         ends = length[live] == depth
         out[live[ends]] = count[node[ends]]
     return out
 
 
-@cache
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_POWERS.base), n, 1 << 64))
-
-
 @cache
 def _loaded(path: str) -> Vocabulary:
     return Vocabulary.load(path)
@@ -183,7 +175,13 @@ def _rows(path: str, text: str, columns: list[str], out: str):
 
 def count(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """All rows of docs with their columns (or those named) and token_count: tokens of the whole text and its words.
-    Null and empty texts have none. `vocabulary` is the path of a sentencepiece model, the same on every executor."""
+    `vocabulary` is the path of a sentencepiece model, the same on every executor.
+
+    Null and empty texts have no tokens. Texts of any length are cut whole; a word of very many bytes is cut byte by
+    byte. Of segmentations of equal score that with the fewest tokens counts. Rows are judged one by one, so repeated
+    rows fare alike. Where docs has a column token_count, the result's has underscores before it. An empty table gives
+    an empty one.
+    """
     columns = docs.columns if columns is None else columns
     needed = in_small_batches(docs).select(*dict.fromkeys([*columns, text]))
     out, names = free("token_count", docs.columns), [c for c in needed.columns if c in columns]
