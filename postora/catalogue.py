@@ -515,6 +515,17 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", scalars.popcount(size).cast("int").alias("ones"), scalars.is_power_of_two(size).alias("power"), scalars.code_points(name).alias("points"), scalars.hex_dump(scalars.utf8(name)).alias("dump"), scalars.joined(F.col("p_brand"), size.cast("string")).alias("joined"), scalars.parse_int(size.cast("string")).alias("parsed"))
 
 
-@_query()
+def crc32_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8: its bytes, one by one, through the usual table."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ 0xEDB88320 * (n & 1)
+        table.append(n)
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: xor(list_extract({table}::BIGINT[], (xor(c, b) & 255) + 1), c >> 8)), 4294967295)::BIGINT"
+
+
+@_query(f"SELECT p_partkey, {crc32_sql('p_name')} AS crc FROM part")
 def crc32_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", scalars.crc32(scalars.utf8(F.col("p_name"))).alias("crc"))
