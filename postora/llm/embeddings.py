@@ -200,14 +200,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     with tables() as own:
         # equal vectors are one node, named by its least key; those that a repeated key would confuse, by a hash
         nodes = own(rows.where(sound).groupBy("e").agg(F.min("id").alias("id"), F.count("*").alias("many")))
-        several = nodes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("again"))
+        several = own(nodes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("again")))
         named = F.when(F.col("again").isNull(), F.col("id")).otherwise(F.xxhash64("id", "e"))
         nodes = own(nodes.join(several, F.col("id") == F.col("again"), "left").select(named.alias("node"), "id", "many", "e"))
         fetched = nodes.select("node", "many", F.col("e").alias("vector"))
         plans = {r["d"]: planned(r["n"], r["d"], least) for r in nodes.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each length
         standing = own(nodes.select("node", "e").mapInArrow(_standing(plans), "node long, bucket long"))
+        # sums are stored before they are joined, so that Spark can split the hot keys of what they are joined with
         heads = standing.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-        placed = own(standing.join(heads, "bucket"))
+        placed = own(standing.join(own(heads), "bucket"))
         pairs = placed.where("node <> pivot").groupBy("pivot", "node").agg(F.max("m").alias("m"))
         blocks = own(pairs.select(F.col("pivot").alias("k1"), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("k2"), "node"))
         blocks = blocks.union(blocks.select("k1", "k2", F.col("k1").alias("node")).distinct())
@@ -216,18 +217,19 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         roots = components(links)
         tagged = placed.join(roots, "node", "left").select(F.col("bucket").alias("k"), "node", F.coalesce("root", "node").alias("root"))
         groups = tagged.groupBy("k", "root").agg(F.count("*").alias("c")).groupBy("k").agg(F.sum("c").alias("m"), F.count("*").alias("roots"))
-        apart = groups.where("m > 2 and roots > 1").select("k", "m")
+        apart = own(groups.where("m > 2 and roots > 1").select("k", "m"))
         across = _squares(tagged.join(apart, "k"), "m", fetched.drop("many")).mapInArrow(_across(least), "a long, b long")
         links = own(links.union(across))
         forget(roots)
         found = components(links)
         roots = own(found)
         forget(found)
-        families = roots.groupBy("root").agg(F.count("*").alias("m")).withColumnRenamed("root", "k")
+        families = own(roots.groupBy("root").agg(F.count("*").alias("m")).withColumnRenamed("root", "k"))
         members = roots.withColumnRenamed("root", "k").join(families, "k")
         counts = _squares(members, "m", fetched).mapInArrow(_counted(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+        counts = own(counts)
         classes = own(nodes.join(counts, "node", "left").join(roots, "node", "left").select("e", "id", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("root", "node").alias("root")))
-        least_key = classes.groupBy("root").agg(F.min("id").alias("least"))
+        least_key = own(classes.groupBy("root").agg(F.min("id").alias("least")))
         classes = own(classes.join(least_key, "root").select("e", "links", "least"))
         out = rows.withColumn("sound", sound).join(classes.withColumnRenamed("e", "v"), F.col("sound") & (F.col("e") == F.col("v")), "left")
         own_class = F.coalesce("least", "id")

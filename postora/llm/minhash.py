@@ -1,11 +1,12 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
-A document's shingles are hashed once; its sketch is the `K` least hashes. Each retained value has an inverted list of
-the documents that retain it. The K least hashes of the union of two documents fall into both sets independently at the
-rate of the similarity, so two documents at the threshold have at least `_needed` retained values in common but for
-about one pair in ten million just at the threshold, and always where the sketches are whole sets. A document that must share m of its k values
-with another shares one of its k - m + 1 rarest with it, if both order values alike: only those lists are read, so that
-values which very many documents retain make no list unless little else is retained.
+A document's shingles are hashed once; its sketch is the `K` least hashes. The K least hashes of the union of two
+documents fall into both sets independently at the rate of the similarity, so two documents at the threshold have
+several of them in a row that both sketches retain. Inverted lists are kept by such runs of retained values: a run of
+three for a similarity of 0.8 is missing for 4 pairs in 100 million just at the threshold, for fewer above, and for none
+where the sketches are the whole sets (documents of 5 shingles or fewer are listed by shorter runs too). Lists of single
+values would grow faster than the corpus, as common shingles are retained by very many unrelated documents; their
+neighbours in those documents' sketches differ.
 
 A list is linked by pivots: its members are compared with the one of them that stands in the longest lists, and only
 members of different classes are compared further. Members that a pivot links need no comparison among themselves, so a
@@ -31,6 +32,8 @@ from postora.llm.frames import anonymous, bucketed, components, cut, forget, gro
 K = 48
 #: Least hashes that a sketch's bitmap holds, and its words of 64 bits. Sets of up to so many are held whole.
 MAPPED, _MAP = 256, 32
+#: Sets of so few shingles are listed by runs of every length up to the usual one.
+FEW = 5
 #: Rounds of pivots at most before the rest is compared pair by pair.
 ROUNDS = 6
 #: Documents of a part of a family, and of a part of a list; each two parts are a block.
@@ -174,26 +177,25 @@ def _listed_pairs(percent: int):
     return rows
 
 
-def _needed(n: Column, percent: int) -> Column:
-    """Retained values that a set of n shingles shares with any set at the threshold: exactly where the union is less
-    than a sketch, else the mean less five standard deviations."""
-    p = percent / 100
-    usual = max(1, int(K * p - 5 * (K * p * (1 - p)) ** 0.5))
-    return F.when(n <= int(K * p), F.ceil(n * percent / 100 - 1e-9)).otherwise(usual).cast("int")
+def _run(percent: int) -> int:
+    """Retained values in a list's key: as many as pairs at the threshold have in a row almost surely."""
+    return 3 if percent >= 80 else 2 if percent >= 65 else 1
 
 
 def _lists(nodes: DataFrame, percent: int, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """v, node, weight: the inverted lists that more than one node reads, and how long those of a node are together."""
+    """v, node, weight: the inverted lists, by runs of values, that more than one node is in, and how long those of a
+    node are together."""
     held = F.size("sketch")
-    retained = nodes.select("node", (held - _needed(F.col("n"), percent) + 1).cast("int").alias("rarest"), held.alias("held"), F.explode("sketch").alias("v"))
-    common = retained.groupBy("v").agg(F.count("*").alias("many")).where("many > 1")
-    by_node = retained.join(common, "v").groupBy("node", "rarest", "held").agg(F.sort_array(F.collect_list(F.struct("many", "v"))).alias("e"))
-    # values that no other node retains come first in the order
-    read = by_node.select("node", F.explode(F.slice("e", 1, F.greatest(F.col("rarest") - F.col("held") + F.size("e"), F.lit(0)))).alias("e")).select("node", "e.v")
-    read = own(read)
-    shared = read.join(read.groupBy("v").agg(F.count("*").alias("many")).where("many > 1"), "v")
-    shared = own(shared.select("v", "node", "many"))
-    return own(shared.join(shared.groupBy("node").agg(F.sum("many").alias("weight")), "node").select("v", "node", "weight"))
+
+    def runs(length: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), held - length), lambda i: F.xxhash64(F.lit(length), F.slice("sketch", i + 1, length)))
+        return F.when((held >= length) & ((F.lit(length) == _run(percent)) | (held <= FEW)), each).otherwise(F.array().cast("array<long>"))
+
+    listed = nodes.select("node", F.explode(F.array_distinct(F.concat(*map(runs, range(1, _run(percent) + 1))))).alias("v"))
+    # sums are stored before they are joined, so that Spark can split the hot keys of what they are joined with
+    common = own(listed.groupBy("v").agg(F.count("*").alias("many")).where("many > 1"))
+    kept = own(listed.join(common, "v").select("v", "node", "many"))
+    return own(kept.join(own(kept.groupBy("node").agg(F.sum("many").alias("weight"))), "node").select("v", "node", "weight"))
 
 
 def _families(pairs: DataFrame, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -202,7 +204,7 @@ def _families(pairs: DataFrame, own: Callable[[DataFrame], DataFrame]) -> DataFr
     found = components(pairs)
     roots = own(found)
     forget(found)
-    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = own(roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
     placed = own(roots.join(parts, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
     a, b = (placed.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("part").alias(f"part_{c}")) for c in ("a", "b"))
     low, high = F.least("part_a", "part_b"), F.greatest("part_a", "part_b")
@@ -230,7 +232,7 @@ def _links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, size: int, perc
         before = cross
         if last:
             members = own(members.select("v", "node", "root", F.ceil(F.col("m") / LISTED).cast("int").alias("parts")))
-            every = members.groupBy("node").agg(F.collect_list("v").alias("every")).join(nodes, "node")
+            every = own(members.groupBy("node").agg(F.collect_list("v").alias("every")).join(nodes, "node"))
             placed = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             placed = placed.select("v", "node", "root", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
             blocks = placed.join(every, "node").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
@@ -277,7 +279,7 @@ def _classes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -
         roots = components(links)
         classes = own(nodes.join(roots, "node", "left").select("same1", "same2", "id", F.coalesce("root", "node").alias("root")))
         forget(roots)
-        least = classes.groupBy("root").agg(F.min("id").alias("least"))
+        least = own(classes.groupBy("root").agg(F.min("id").alias("least")))
         classes = own(classes.join(least, "root").select("same1", "same2", "least"))
         own_class = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
         out = rows.join(classes, ["same1", "same2"], "left")

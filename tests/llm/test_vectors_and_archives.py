@@ -4,6 +4,8 @@ import base64
 import hashlib
 import io
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -48,6 +50,7 @@ def vectors(n=300, size=24, seed=1):
 @pytest.mark.parametrize("block", [1024, 4])
 def test_near_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "SQUARE", block)
     rows = vectors()
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("node", F.lit("x"))
     found = embeddings.near_vectors(frame).collect()
@@ -59,16 +62,34 @@ def test_near_vectors(spark, monkeypatch, block):
     assert embeddings.near_vectors(frame.where("false")).count() == 0
 
 
-def test_recall_just_above_the_threshold():
-    """Pairs at a cosine of 0.95 share a bucket."""
-    drawn = np.random.Generator(np.random.PCG64(3))
-    x = embeddings.unit(drawn.normal(size=(400, 64)))
-    z = drawn.normal(size=(400, 64))
+def at_cosine(pairs, size, cosine, seed):
+    drawn = np.random.Generator(np.random.PCG64(seed))
+    x, z = (embeddings.unit(drawn.normal(size=(pairs, size))) for _ in range(2))
     z = embeddings.unit(z - (z * x).sum(1, keepdims=True) * x)
-    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z
-    kx, ky = embeddings.buckets(x), embeddings.buckets(y)
-    shared = sum(np.diagonal(embeddings._shared(kx, ky, t)) for t in range(embeddings.TABLES)) > 0
-    assert shared.mean() >= 0.97
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("size", [8, 64, 256, 1024])
+@pytest.mark.parametrize("n", [1000, 10**8])
+def test_recall_just_above_the_threshold(size, n):
+    """Pairs at a cosine of 0.95 share a bucket, however many hashes so many vectors ask for."""
+    x, y = at_cosine(150, size, 0.95, 3)
+    plan = embeddings.planned(n, size, 0.95)
+    kx, ky = embeddings.buckets(x, *plan), embeddings.buckets(y, *plan)
+    assert (kx[:, :, :, None] == ky[:, :, None, :]).any((1, 2, 3)).mean() >= 0.97
+    assert (2 * size) ** plan[1] >= n or plan[1] == embeddings.MOST_TURNS
+
+
+def test_pairs_that_meet_in_near_buckets_only_are_counted(spark):
+    x, y = at_cosine(4000, 256, 0.9505, 5)
+    plan = embeddings.planned(8000, 256, 0.95)
+    kx, ky = embeddings.buckets(x, *plan), embeddings.buckets(y, *plan)
+    own = (kx[:, :, :1] == ky[:, :, :]).any((1, 2)) | (kx == ky[:, :, :1]).any((1, 2))
+    near = np.flatnonzero(~own & (kx[:, :, :, None] == ky[:, :, None, :]).any((1, 2, 3)))[:5]
+    assert len(near)
+    rows = [(int(i), v.tolist()) for i, v in zip(range(2 * len(near)), np.concatenate([x[near], y[near]]))]
+    found = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["near_links"], r["near_component"] % len(near) == r["vec_id"] % len(near)) for r in found} == {(1, True)}
 
 
 PAGES = [(1, "http://a/", "same"), (2, "http://b/\r\nX: y", "same"), (3, None, "same"), (4, "u", ""), (5, "u", None), (6, "ü", "é" * 3000), (7, "u", "other"), (3, "again", "same"), (None, "u", "same"), (None, "u", "alone")]
@@ -97,21 +118,27 @@ def test_round_trip(spark, tmp_path, least, chunk):
 def test_archives_are_warc_files(spark, tmp_path):
     """An exported archive, read by a parser that knows nothing but the format."""
     drawn = random.Random(1)
-    pages = [(i, f"http://x/{i}", "z" * drawn.randint(0, 900)) for i in range(40)]
-    table = warc.records(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), chunk_bytes=64)
+    pages = [(i, f"http://x/{i}", "z" * drawn.randint(0, 20)) for i in range(40)]
+    table = warc.records(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), chunk_bytes=8)
     out = io.BytesIO()
     warc.export(table, 0, out)
-    data, found = out.getvalue(), {}
+    data, found, refers, uri_of, payload = out.getvalue(), {}, [], {}, {u: h for _, u, h in pages}
     while data:
         head, _, rest = data.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         length = int(fields["Content-Length"])
         block, end, data = rest[:length], rest[length : length + 4], rest[length + 4 :]
         assert head.startswith(b"WARC/1.1\r\n") and end == b"\r\n\r\n"
-        if fields["WARC-Type"] == "response":
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        if fields["WARC-Type"] == "revisit":
+            refers.append((fields["WARC-Target-URI"], fields["WARC-Refers-To"]))
+        else:
+            assert fields["WARC-Record-ID"] not in uri_of
+            uri_of[fields["WARC-Record-ID"]] = fields["WARC-Target-URI"]
             found[fields["WARC-Target-URI"]] = block.partition(b"\r\n\r\n")[2].decode()
     newest = {h: u for _, u, h in pages}
     assert found == {u: h for h, u in newest.items()}
+    assert refers and all(uri_of[r] == newest[payload[u]] for u, r in refers)
 
 
 def test_changed_archives_raise(spark):
@@ -120,3 +147,19 @@ def test_changed_archives_raise(spark):
     with pytest.raises(Exception, match="was changed"):
         warc.read(bad).collect()
     assert warc.read(table.where("false")).count() == 0
+
+
+def test_large_payloads_are_cut_as_they_lie():
+    """A payload of 200 MB costs its writer some chunks of memory, and its reader one."""
+    payload = memoryview(bytes(1 << 20) * 200)
+    tracemalloc.start()
+    reader, n = None, 0
+    for _, i, count, data, _ in warc.chunks("r", warc._named(5, "d"), "response", "2024-01-01T00:00:00Z", "u", warc._base32(hashlib.sha1(payload).digest()), payload, None, warc.CHUNK):
+        n += 1
+        if i == 0:
+            reader = warc.Reader(data)
+        else:
+            reader.feed(data)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == count == 3200 and reader.done()[3] == len(payload) and most < 2 << 20
