@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postora.functions import scalars
+from postora.functions import bitsets, scalars
 from postora.operators import admin, helpers, scoring, search, snapshot, statistics
 from postora.plans import ast, compiler
 from postora.plans.parser import parse
@@ -40,7 +40,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], object]):
-    key = (spark.sparkContext.applicationId, sf_dir, what)
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    names = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    # a folder whose tables were written again is another folder
+    key = (spark.sparkContext.applicationId, sf_dir, what, tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in names)))
     if key not in _BUILT:
         _BUILT[key] = build()
     return _BUILT[key]
@@ -133,16 +136,14 @@ _matching("phrase_with_gap", _postings, {"type": "SimplePhraseQuery", "field": "
 
 @_query("SELECT 0::BIGINT AS unknown_field, 0::BIGINT AS unknown_term")
 def unknown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _documents(spark, sf_dir)
-    one = compiler.count_matches(ast.Term("nowhere", "the"), index).withColumnRenamed("n", "unknown_field")
-    return one.join(compiler.count_matches(ast.Term("text", "zzzzqqqq"), index).withColumnRenamed("n", "unknown_term"))
+    wanted = {"unknown_field": (ast.Term("nowhere", "the"), None), "unknown_term": (ast.Term("text", "zzzzqqqq"), None)}
+    return compiler.counted(_documents(spark, sf_dir), wanted)
 
 
 @_query("SELECT count(*) FILTER (p_size BETWEEN 1 AND 25) AS whole, count(*) FILTER (p_size BETWEEN 1 AND 10 OR p_size BETWEEN 11 AND 25) AS parts FROM part")
 def range_union_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _parts(spark, sf_dir)
-    whole = compiler.count_matches(ast.Range("p_size", 1, 25), index).withColumnRenamed("n", "whole")
-    return whole.join(compiler.count_matches(ast.Or((ast.Range("p_size", 1, 10), ast.Range("p_size", 11, 25))), index).withColumnRenamed("n", "parts"))
+    parts = ast.Or((ast.Range("p_size", 1, 10), ast.Range("p_size", 11, 25)))
+    return compiler.counted(_parts(spark, sf_dir), {"whole": (ast.Range("p_size", 1, 25), None), "parts": (parts, None)})
 
 
 @_query("WITH m AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size::VARCHAR || '.5' WHEN 2 THEN ' ' || p_size::VARCHAR ELSE p_name END AS mixed FROM part) SELECT p_partkey FROM m WHERE regexp_full_match(mixed, '-?[0-9]+') AND mixed::INTEGER BETWEEN 1 AND 2147483647")
@@ -169,9 +170,8 @@ _matching("fields_mixed", _documents, _and(_or(_t("lang", "en"), _t("lang", "fr"
 
 @_query(f"WITH {_D} SELECT count(*) FILTER ({_has('the')}) AS n, count(*) FILTER ({_has('the')} AND doc_id % 3 = 0) AS n_third FROM d")
 def count_with_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, term = _documents(spark, sf_dir), ast.Term("text", "the")
-    third = compiler.count_matches(term, index, only=F.col("doc_id") % 3 == 0).withColumnRenamed("n", "n_third")
-    return compiler.count_matches(term, index).join(third)
+    term = ast.Term("text", "the")
+    return compiler.counted(_documents(spark, sf_dir), {"n": (term, None), "n_third": (term, F.col("doc_id") % 3 == 0)})
 
 
 @_query("SELECT * FROM (VALUES ('text', 'the'), ('text', 'of'), ('text', 'des')) AS v(field, term)")
@@ -182,9 +182,7 @@ def positive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_D} SELECT (SELECT max(doc_id) FROM d WHERE {_has('des')} AND doc_id <= 150) AS newest_before, (SELECT min(doc_id) FROM d WHERE {_has('des')} AND doc_id >= 50) AS oldest_after")
 def posting_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, term = _documents(spark, sf_dir), ast.Term("text", "des")
-    after = compiler.forward(term, index, 50).withColumnRenamed("doc_id", "oldest_after")
-    return compiler.advance(term, index, 150).withColumnRenamed("doc_id", "newest_before").join(after)
+    return compiler.navigated(ast.Term("text", "des"), _documents(spark, sf_dir), 150, 50)
 
 
 # Versions
@@ -223,6 +221,25 @@ def compact_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.docs.select("doc_id", F.col("uid").alias("user_id"), F.get(index.fields["event_type"].values, F.lit(0)).alias("event_type"))
 
 
+@_query(f"WITH {_LATEST}, c AS (SELECT event_type, row_number() OVER (ORDER BY event_id) AS doc_id FROM l WHERE superseded_by IS NULL) SELECT event_type AS term, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM c GROUP BY event_type")
+def compact_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings after compaction, under the new numbers."""
+    postings = admin.compact(_events(spark, sf_dir)).postings.where("field = 'event_type'")
+    return postings.groupBy("term").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+@_query(f"WITH {_LATEST}, c AS (SELECT props, row_number() OVER (ORDER BY event_id) AS doc_id FROM l WHERE superseded_by IS NULL) SELECT doc_id FROM c WHERE (json_extract_string(props, '$.k'))::INTEGER BETWEEN 10 AND 60")
+def compact_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range after compaction, under the new numbers."""
+    return compiler.by_predicate(ast.Range("k", 10, 60), admin.compact(_events(spark, sf_dir)))
+
+
+@_query("SELECT true AS has_version, true AS has_executors, true AS has_parallelism")
+def runtime_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = admin.runtime_status(_events(spark, sf_dir))
+    return spark.createDataFrame([(bool(found["version"]), found["executors"] >= 1, found["parallelism"] >= 1)], "has_version boolean, has_executors boolean, has_parallelism boolean")
+
+
 @_query(f"WITH {_LATEST} SELECT count(*) AS versions, count(*) FILTER (superseded_by IS NULL) AS live, count(DISTINCT user_id) AS uids, max(event_id) AS max_doc FROM l")
 def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.status(_events(spark, sf_dir))
@@ -253,7 +270,8 @@ _query(_page_sql(100000000, 10), "page_past_end")(_paged(100000000, 10))
 def hits_and_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = search.SearchRequest(json.dumps(_and(_t("text", "the"), _t("text", "of"))), limit=25)
     found = search.matches(_documents(spark, sf_dir), request)
-    return found.agg(F.count("*").alias("hits")).join(search.page(found, request).agg(F.count("*").alias("docs")))
+    rest = F.greatest(F.count("*") - request.offset, F.lit(0))
+    return found.agg(F.count("*").alias("hits"), F.least(rest, F.lit(request.limit)).alias("docs"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,6 +328,25 @@ def phrase_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.join(found, "doc_id", "left_semi").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@_query(f"WITH {_D} SELECT row_number() OVER (ORDER BY doc_id DESC) - 6 AS rank, doc_id, doc_id AS uid, 0.0::DOUBLE AS score, (SELECT count(*) FROM d WHERE {_has('the')} AND NOT {_has('that')}) AS hits FROM d WHERE {_has('the')} AND NOT {_has('that')} ORDER BY doc_id DESC LIMIT 12 OFFSET 5")
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a search from request to answer. The sort field is accepted and changes nothing."""
+    request = search.SearchRequest(json.dumps(_minus(_t("text", "the"), _t("text", "that"))), 5, 12, sort_field="n_chars", sort_reverse=True, stime=1)
+    answer = search.search(_documents(spark, sf_dir), request)
+    return answer.results.select(F.col("rank").cast("long").alias("rank"), "doc_id", "uid", "score", F.lit(answer.hits).cast("long").alias("hits"))
+
+
+@_query(f"WITH {_D} SELECT true AS complete, count(*) AS hits, least(count(*), 10)::BIGINT AS docs FROM d WHERE {_has('of')}")
+def search_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that looks through slices of the versions, in time for all."""
+    answer = search.search(_documents(spark, sf_dir), search.SearchRequest(json.dumps(_t("text", "of")), qtime=3_600_000, enforce_time=True))
+    return spark.createDataFrame([(answer.complete, answer.hits, answer.docs)], "complete boolean, hits long, docs long")
+
+
+_matching("rare_term", _postings, _and(_t("text", "apache"), _t("text", "license")), _docs_where(f"{_has('apache')} AND {_has('license')}"), strategy="frequency")
+_matching("common_term", _postings, _and(_t("text", "the"), _t("text", "of")), _docs_where(f"{_has('the')} AND {_has('of')}"), strategy="frequency")
+
+
 # Statistics
 
 @_query(f"WITH {_P} SELECT 'text' AS field, term, count(*) AS n FROM o GROUP BY term")
@@ -394,7 +431,7 @@ def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_LOG} SELECT value, count(*) AS n FROM n WHERE place = 1 AND value <> 'bitcask_tombstone' GROUP BY value")
 def kv_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.visible(_log(spark, sf_dir)).groupBy(F.decode("value", "UTF-8").alias("value")).agg(F.count("*").alias("n"))
+    return store.fold(_log(spark, sf_dir), F.count("*").alias("n"), by=[F.decode("value", "UTF-8").alias("value")])
 
 
 @_query(f"WITH {_LOG} SELECT count(*) AS keys, max(tstamp)::INTEGER AS last FROM n WHERE place = 1")
@@ -417,6 +454,15 @@ def kv_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(store.newest(store.merged(_log(spark, sf_dir))))
 
 
+@_query(f"WITH {_LOG} SELECT user_id, value FROM n WHERE place = 1 AND value <> 'bitcask_tombstone'")
+def kv_merge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored log, merged file by file."""
+    log = f"{scratch(spark)}/log"
+    store.put(log, _log(spark, sf_dir))
+    store.merge_files(spark, log)
+    return _shown(store.visible(store.checked(spark.read.parquet(log))))
+
+
 @_query("SELECT conv_id, arg_max(text, turn) AS text, count(*) AS versions FROM conversations GROUP BY conv_id")
 def stored_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored fields of conversations, each turn a new version of its conversation."""
@@ -455,7 +501,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into a journal, and the index that the journal holds."""
     folder = scratch(spark)
     source = _table(spark, sf_dir, "events")
-    fed = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    fed = streaming.files(spark, source.schema, f"{sf_dir}/events.parquet*", pathGlobFilter="*.parquet")
     streaming.start(_sent(fed), f"{folder}/journal", f"{folder}/checkpoint", ["event_id"]).awaitTermination()
     index = streaming.recover(spark, f"{folder}/journal", newest_only=False, fields=["event_type"])
     alive = snapshot.live(index.docs).join(index.stored, "uid", "left")
@@ -474,8 +520,70 @@ def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.docs.join(found, "doc_id", "left_semi").select(F.col("uid").alias("user_id"))
 
 
+@_query(f"WITH {_LATEST} SELECT user_id, event_id::VARCHAR AS event_id FROM l WHERE superseded_by IS NULL")
+def reingest_and_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that is sent again changes nothing, nor does the compaction of the journal."""
+    folder = scratch(spark)
+    sent = _sent(_table(spark, sf_dir, "events"))
+    for _ in range(2):
+        streaming.append(f"{folder}/journal", sent, 0, ["event_id"])
+    streaming.compact_journal(spark, f"{folder}/journal", f"{folder}/compact")
+    index = streaming.recover(spark, f"{folder}/compact", fields=["event_type"])
+    return index.stored.select(F.col("uid").alias("user_id"), F.col("fields")["event_id"].alias("event_id"))
+
+
 # Functions and helpers
 
+@_query(f"WITH {_P} SELECT 'text' AS field, term, row_number() OVER (ORDER BY term) AS term_id FROM (SELECT DISTINCT term FROM o)")
+def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms numbered in the order of their bytes."""
+    return statistics.dictionary(_postings(spark, sf_dir).postings)
+
+
+@_query("SELECT p_partkey, [p_size::BIGINT, NULL, -7] AS longs, [p_size, NULL, NULL]::INTEGER[] AS ints, true AS same, p_size AS sliced, (2 * length(p_name))::INTEGER AS utf16, (4 * length(p_name))::INTEGER AS utf32, true AS utf8, p_name AS back, [p_brand, p_size::VARCHAR] AS parts, true AS now FROM part")
+def list_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, name, brand = F.col("p_size").cast("string"), F.col("p_name"), F.col("p_brand")
+    same = scalars.hashed(name, size) == scalars.hashed(F.concat(name, F.lit("")), size)
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey",
+        scalars.to_longs(F.array(size, F.lit("2.5"), F.lit("-7"))).alias("longs"),
+        scalars.to_ints(F.array(size, F.lit("x"), F.lit("99999999999"))).alias("ints"),
+        same.alias("same"),
+        scalars.parse_int(F.concat(F.lit("ab"), F.lpad(size, 4, "0"), F.lit("z")), 10, 2, 4).alias("sliced"),
+        F.octet_length(scalars.utf16(name)).alias("utf16"),
+        F.octet_length(scalars.utf32(name)).alias("utf32"),
+        scalars.is_utf8(scalars.utf8(name)).alias("utf8"),
+        scalars.from_utf8(scalars.utf8(name)).alias("back"),
+        scalars.split_up(scalars.joined(brand, size)).alias("parts"),
+        (F.abs(scalars.now_seconds() - F.unix_timestamp(F.current_timestamp())) < 5).alias("now"),
+    )
+
+
+@_query("SELECT p_partkey, true AS held, false AS other, 2 AS size, p_size AS least, (p_size + 70)::INTEGER AS later, p_size AS earlier, -1 AS none, [p_size + 70]::BIGINT[] AS without, [p_size]::BIGINT[] AS shared, true AS meets, false AS is_empty, 3 AS either, 1 AS one_only, 1 AS left_only FROM part")
+def bitset_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set of a part's size and of that and 70, against the set of the size and 1000."""
+    size = F.col("p_size")
+    one = bitsets.with_bit(bitsets.flipped(bitsets.empty(64), size), size + 70)
+    two = bitsets.with_bit(bitsets.with_bit(bitsets.empty(64), size), F.lit(1000))
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey",
+        bitsets.get(one, size).alias("held"),
+        bitsets.get(one, size + 1).alias("other"),
+        bitsets.cardinality(one).alias("size"),
+        bitsets.next_member(one, F.lit(0)).alias("least"),
+        bitsets.next_member(one, size + 1).alias("later"),
+        bitsets.previous_member(one, size + 69).alias("earlier"),
+        bitsets.next_member(one, size + 71).alias("none"),
+        bitsets.members(bitsets.without_bit(one, size)).cast("array<long>").alias("without"),
+        bitsets.members(bitsets.both(one, two)).cast("array<long>").alias("shared"),
+        bitsets.intersects(one, two).alias("meets"),
+        bitsets.is_empty(one).alias("is_empty"),
+        bitsets.cardinality(bitsets.either(one, two)).alias("either"),
+        bitsets.cardinality(bitsets.left_only(two, one)).alias("one_only"),
+        bitsets.cardinality(bitsets.left_only(one, two)).alias("left_only"),
+    )
+
+
 @_query(f"WITH {_P} SELECT doc_id, position::INTEGER AS position, (doc_id << 8) | (position & 255) AS packed, doc_id AS packed_doc, (position & 255)::INTEGER AS packed_position FROM o WHERE term = 'of'")
 def posting_pack_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _postings(spark, sf_dir).postings.where((F.col("field") == "text") & (F.col("term") == "of"))

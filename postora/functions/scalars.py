@@ -21,8 +21,10 @@ def packed_position(posting: Column) -> Column:
     return posting.bitwiseAND(F.lit(POSITION_MASK)).cast("int")
 
 
-def parse_int(text: Column, radix: int = 10) -> Column:
-    """A 32-bit integer in a radix from 2 to 36, after an optional minus; null for anything else."""
+def parse_int(text: Column, radix: int = 10, offset: int = 0, length: int | None = None) -> Column:
+    """A 32-bit integer in a radix from 2 to 36, after an optional minus, in `length` characters from `offset` (all that
+    follow without it); null for anything else."""
+    text = F.substring(text, offset + 1, length if length is not None else 2147483647) if offset or length is not None else text
     digits = "0123456789abcdefghijklmnopqrstuvwxyz"[:radix]
     sound = F.lower(text).rlike(f"^-?[{digits}]{{1,40}}$")
     magnitude = F.conv(F.regexp_replace(text, "^-", ""), radix, 10).try_cast("long")
@@ -77,7 +79,7 @@ def popcount(n: Column) -> Column:
 def trailing_zeros(n: Column) -> Column:
     """Zero bits below the lowest set bit of a long; 64 for 0."""
     n = n.cast("long")
-    return F.when(n == 0, 64).otherwise(F.bit_count(n.bitwiseAND(-n) - 1).cast("int"))
+    return F.when(n == 0, 64).when(n == F.lit(-(1 << 63)), 63).otherwise(F.bit_count(n.bitwiseAND(-n) - 1).cast("int"))
 
 
 def is_power_of_two(n: Column) -> Column:

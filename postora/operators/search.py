@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
-from threading import Timer
-from uuid import uuid4
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +17,15 @@ from postora.plans.parser import parse
 from postora.sources.ingest import Index
 
 
+#: Slices of the versions that a search with a time limit looks through one by one.
+SLICES = 16
+
+
 @dataclass(frozen=True)
 class SearchRequest:
-    """What is asked. sort_field, sort_reverse and stime are accepted and change nothing. qtime, in milliseconds, ends
-    the whole search where `enforce_time` is set; by default results are exact and it changes nothing either."""
+    """What is asked. sort_field, sort_reverse and stime are accepted and change nothing. Where `enforce_time` is set, the
+    search looks through the versions in slices, newest first, begins none once qtime milliseconds have passed, and
+    answers with what it has found; by default results are exact and qtime changes nothing either."""
 
     query: str
     offset: int = 0
@@ -43,13 +46,14 @@ class SearchRequest:
 @dataclass(frozen=True)
 class SearchResponse:
     """docs: rows of this page; hits: all matches; results: score, doc_id, uid and fields of the page, in order;
-    time: milliseconds; phases: milliseconds of each."""
+    time: milliseconds; phases: milliseconds of each; complete: whether all versions were looked through."""
 
     docs: int
     hits: int
     results: DataFrame
     time: int
     phases: dict[str, float] = field(default_factory=dict)
+    complete: bool = True
 
 
 @dataclass(frozen=True)
@@ -93,28 +97,42 @@ def with_stored(rows: DataFrame, stored: DataFrame | None, fields: Sequence[str]
     return rows.join(stored.select("uid", projected(fields).alias("fields")), "uid", "left")
 
 
+def _until(found: DataFrame, docs: DataFrame, request: SearchRequest, ends: float) -> tuple[int, list, bool]:
+    """hits and the best rows of as many slices of doc_ids, newest first, as begin in time; and whether those are all.
+    The first is always looked through."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    hits, best, needed = 0, [], replace(request, offset=0, limit=request.offset + request.limit)
+    if low is None:
+        return 0, [], True
+    step = max(1, -(-(high - low + 1) // SLICES))
+    for top in range(high, low - 1, -step):
+        if top != high and time.perf_counter() > ends:
+            return hits, best, False
+        own = found.where(F.col("doc_id").between(top - step + 1, top)).cache()
+        hits += own.count()
+        best = sorted(best + page(own, needed).collect(), key=lambda r: (-r["score"], -r["doc_id"]))[: needed.limit]
+        own.unpersist()
+    return hits, best, True
+
+
 def search(index: Index, request: SearchRequest, at: int | None = None, scorer: Scorer = constant, strategy: str = "predicate") -> SearchResponse:
-    """One page and the exact number of matches, as of one snapshot. Malformed queries raise ValueError."""
+    """One page and the number of matches, as of one snapshot; exact unless a time limit is enforced and met. Malformed
+    queries raise ValueError."""
     began = time.perf_counter()
-    context = index.docs.sparkSession.sparkContext
-    tag, timer = f"postora-{uuid4().hex}", None
-    context.addJobTag(tag)
+    found = matches(index, request, at, scorer, strategy)
     if request.enforce_time:
-        timer = Timer(request.qtime / 1000, context.cancelJobsWithTag, [tag])
-        timer.start()
-    try:
-        found = matches(index, request, at, scorer, strategy).cache()
-        hits = found.count()
+        hits, best, complete = _until(found, index.docs, request, began + request.qtime / 1000)
+        searched = time.perf_counter()
+        top = best[request.offset :]
+    else:
+        found = found.cache()
+        hits, complete = found.count(), True
         searched = time.perf_counter()
         top = page(found, request).collect()  # a page, of `limit` rows at most
-        sorted_ = time.perf_counter()
-        rows = index.docs.sparkSession.createDataFrame([(i, r["doc_id"], r["uid"], r["score"]) for i, r in enumerate(top)], "rank int, doc_id long, uid long, score double")
-        results = with_stored(rows, index.stored, request.fields).select("rank", "doc_id", "uid", "score", "fields").orderBy("rank")
         found.unpersist()
-    finally:
-        if timer:
-            timer.cancel()
-        context.removeJobTag(tag)
+    sorted_ = time.perf_counter()
+    rows = index.docs.sparkSession.createDataFrame([(i, r["doc_id"], r["uid"], r["score"]) for i, r in enumerate(top)], "rank int, doc_id long, uid long, score double")
+    results = with_stored(rows, index.stored, request.fields).select("rank", "doc_id", "uid", "score", "fields").orderBy("rank")
     ended = time.perf_counter()
     phases = {"search": (searched - began) * 1000, "sort": (sorted_ - searched) * 1000, "assemble": (ended - sorted_) * 1000}
-    return SearchResponse(len(top), hits, results, round((ended - began) * 1000), phases)
+    return SearchResponse(len(top), hits, results, round((ended - began) * 1000), phases, complete)

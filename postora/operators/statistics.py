@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postora.sources.tables import numbered
+
 
 def term_frequency(postings: DataFrame) -> DataFrame:
     """field, term, n: occurrences of each term, in superseded versions as well."""
@@ -21,6 +23,11 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field").agg(F.count_distinct("term").alias("n"))
 
 
+def dictionary(postings: DataFrame) -> DataFrame:
+    """field, term, term_id: distinct terms, numbered from 1 in the order of fields and of their UTF-8 bytes."""
+    return numbered(postings.select("field", "term").distinct(), ["field", "term"], "term_id")
+
+
 def histogram(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 

@@ -1,8 +1,8 @@
 """From query trees to DataFrames of matching doc_ids, in three ways that give the same rows.
 
-`predicate` (the default) is a Column over the table of versions: one scan, no shuffle, whole-stage code. `by_sets`
-joins sets of doc_ids of postings; `by_flags` reads the postings once, for all leaves together, and groups by document:
-for rare terms over postings that are sorted by term.
+`predicate` (the default) is a Column over the table of versions: one scan, no shuffle. `by_sets` joins sets of doc_ids of
+postings; `by_flags` reads the postings once, for all leaves together, and groups by document: for rare terms over
+postings that are sorted by term. `by_frequency` looks how many postings the leaves have and takes one or the other.
 """
 
 from __future__ import annotations
@@ -25,12 +25,20 @@ def predicate(node: ast.Node, fields: dict[str, Field]) -> Column:
 
 @predicate.register
 def _(node: ast.Term, fields: dict[str, Field]) -> Column:
-    return F.array_contains(fields[node.field].values, node.term) if node.field in fields else F.lit(False)
+    if node.field not in fields:
+        return F.lit(False)
+    own = fields[node.field]
+    return F.col(own.value).isNotNull() & (F.col(own.value) == node.term) if own.value else F.array_contains(own.values, node.term)
 
 
 @predicate.register
 def _(node: ast.Range, fields: dict[str, Field]) -> Column:
-    return F.exists(fields[node.field].numbers, lambda n: n.between(node.start, node.end)) if node.field in fields else F.lit(False)
+    if node.field not in fields:
+        return F.lit(False)
+    own = fields[node.field]
+    if own.number:
+        return F.col(own.number).isNotNull() & F.col(own.number).between(node.start, node.end)
+    return F.exists(own.numbers, lambda n: n.between(node.start, node.end))
 
 
 @predicate.register
@@ -139,7 +147,36 @@ def by_flags(node: ast.Node, index: Index, at: int | None = None) -> DataFrame:
     return found.where(value(node)).select("doc_id").join(alive, "doc_id", "left_semi")
 
 
-STRATEGIES = {"predicate": by_predicate, "sets": by_sets, "flags": by_flags}
+#: The share of versions up to which the postings of a tree's leaves count as few, and how many always do.
+FEW_POSTINGS, ALWAYS_FEW = 0.01, 100
+
+
+def is_rare(node: ast.Node, index: Index) -> bool:
+    """Whether the postings of all leaves together are few. Only those of the leaves' terms are read, and not more than
+    it takes to know; versions are counted from the footers of files. Trees with a range or a match-all are not rare."""
+    leaves = ast.normalised(node).leaves()
+    if not leaves or any(isinstance(x, (ast.Range, ast.MatchAll)) for x in leaves):
+        return False
+    wanted = [(F.col("field") == x.field) & F.col("term").isin(*(x.terms if isinstance(x, ast.Phrase) else [x.term])) for x in leaves]
+    most = max(ALWAYS_FEW, int(FEW_POSTINGS * index.docs.count()))
+    return index.postings.where(reduce(Column.__or__, wanted)).limit(most + 1).count() <= most
+
+
+def by_frequency(node: ast.Node, index: Index, at: int | None = None) -> DataFrame:
+    return (by_flags if is_rare(node, index) else by_predicate)(node, index, at)
+
+
+STRATEGIES = {"predicate": by_predicate, "sets": by_sets, "flags": by_flags, "frequency": by_frequency}
+
+
+def counted(index: Index, wanted: dict[str, tuple[ast.Node, Column | None]], at: int | None = None) -> DataFrame:
+    """One row: for each name the number of matches of its tree, of those that fulfil its condition if it has one; all in
+    one pass over the versions."""
+    columns = []
+    for name, (node, only) in wanted.items():
+        own = predicate(ast.normalised(node), index.fields)
+        columns.append(F.count_if(own if only is None else own & only).alias(name))
+    return live(index.docs, at).agg(*columns)
 
 
 def count_matches(node: ast.Node, index: Index, at: int | None = None, only: Column | None = None) -> DataFrame:
@@ -148,6 +185,12 @@ def count_matches(node: ast.Node, index: Index, at: int | None = None, only: Col
     return (found if only is None else found.where(only)).agg(F.count("*").alias("n"))
 
 
+def navigated(node: ast.Node, index: Index, before: int, after: int, at: int | None = None) -> DataFrame:
+    """One row: newest_before and oldest_after, as of advance() and forward(), in one pass."""
+    own, doc = predicate(ast.normalised(node), index.fields), F.col("doc_id")
+    return live(index.docs, at).where(own).agg(F.max(F.when(doc <= before, doc)).alias("newest_before"), F.min(F.when(doc >= after, doc)).alias("oldest_after"))
+
+
 def advance(node: ast.Node, index: Index, target: int, at: int | None = None) -> DataFrame:
     """doc_id of the newest match at or before the target; null without one."""
     return by_predicate(node, index, at).where(F.col("doc_id") <= target).agg(F.max("doc_id").alias("doc_id"))

@@ -18,11 +18,14 @@ WORDS = r"[^\p{L}\p{N}]+"
 
 @dataclass(frozen=True)
 class Field:
-    """Columns of a field in the table of versions."""
+    """Columns of a field in the table of versions: arrays, and where documents have one token at most, that token and
+    its number as they are, which scans can skip rows by."""
 
     values: str
     positions: str
     numbers: str
+    value: str | None = None
+    number: str | None = None
 
 
 @dataclass(frozen=True)
@@ -68,8 +71,8 @@ def postings_of(docs: DataFrame, fields: dict[str, Field]) -> DataFrame:
     return docs.select("doc_id", F.explode(F.concat(*each)).alias("p")).select("p.field", "p.term", "doc_id", "p.position")
 
 
-def _named(fields: Sequence[str]) -> dict[str, Field]:
-    return {name: Field(f"f{i}_values", f"f{i}_positions", f"f{i}_numbers") for i, name in enumerate(fields)}
+def _named(fields: Sequence[str], single: Sequence[str] = ()) -> dict[str, Field]:
+    return {name: Field(f"f{i}_values", f"f{i}_positions", f"f{i}_numbers", *([f"f{i}_value", f"f{i}_number"] if name in single else [])) for i, name in enumerate(fields)}
 
 
 def from_documents(documents: DataFrame, order: Sequence[str] = (), start: int = 1, fields: Sequence[str] | None = None) -> Index:
@@ -98,7 +101,7 @@ def from_documents(documents: DataFrame, order: Sequence[str] = (), start: int =
 def from_table(table: DataFrame, uid: str, doc_id: str, text: Sequence[str] = (), keywords: Sequence[str] = ()) -> Index:
     """An index of a plain table: columns of prose are lower-cased and cut at what is no letter or digit, the place in
     that cut is the position; a column of keywords or numbers is one token at position 255. Null cells have none."""
-    named = _named([*text, *keywords])
+    named = _named([*text, *keywords], keywords)
     columns = []
     for name in text:
         f, pieces = named[name], F.split(F.lower(F.coalesce(F.col(name), F.lit(""))), WORDS)
@@ -111,5 +114,7 @@ def from_table(table: DataFrame, uid: str, doc_id: str, text: Sequence[str] = ()
     for k in keywords:
         f = named[k]
         arrays += [F.col(f.values), F.transform(F.col(f.values), lambda _: F.lit(NO_POSITION)).alias(f.positions), as_numbers(F.col(f.values)).alias(f.numbers)]
+        token = F.get(f.values, F.lit(0))
+        arrays += [token.alias(f.value), F.when(token.rlike(INTEGER), token.try_cast("int")).alias(f.number)]
     docs = superseded(base.select("doc_id", "uid", *arrays))
     return Index(docs, named, postings_of(docs, named))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from postora.operators.search import ResultCode
 from postora.sources.ingest import Index, from_documents
@@ -18,6 +19,8 @@ from postora.sources.tables import numbered
 
 #: Documents a batch can number.
 PER_BATCH = 1 << 40
+#: Files that a batch of a stream takes in.
+MOST_FILES = 1000
 
 
 def validated(documents: DataFrame) -> ResultCode:
@@ -37,12 +40,26 @@ def append(journal: str, documents: DataFrame, batch: int, order: Sequence[str]
 
 
 def update(journal: str, documents: DataFrame, order: Sequence[str] = ("object_id",)) -> ResultCode:
-    """Appends a batch after the last one, at once."""
-    spark = documents.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(journal)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    taken = [int(s.getPath().getName()[6:]) for s in system.listStatus(path) if s.getPath().getName().startswith("batch=")] if system.exists(path) else []
-    return append(journal, documents, max(taken, default=-1) + 1, order)
+    """Appends a batch after the last one, at once. Its number is claimed first, by a file that only one writer can
+    create, so that writers at the same time have batches of their own."""
+    return append(journal, documents, claimed(documents.sparkSession, journal), order)
+
+
+def claimed(spark: SparkSession, journal: str) -> int:
+    """A batch number above all in the journal that nobody else has or gets."""
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{journal}{name}")
+    system = at("").getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for folder in ("", "/_claims") if system.exists(at(folder)) for s in system.listStatus(at(folder))]
+    number = max((int(n[6:]) for n in names if n.startswith("batch=")), default=-1) + 1
+    while not system.createNewFile(at(f"/_claims/batch={number}")):
+        number += 1
+    return number
+
+
+def files(spark: SparkSession, schema: StructType, path: str, most_files: int = MOST_FILES, **options: str) -> DataFrame:
+    """A stream of the documents in Parquet files, at most `most_files` of them a batch: what arrives faster waits in the
+    folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).options(**options).parquet(path)
 
 
 def start(source: DataFrame, journal: str, checkpoint: str, order: Sequence[str] = ("object_id",), trigger: dict | None = None, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

@@ -40,6 +40,24 @@ def test_matches_sql(spark, tables, name):
         assert rows
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rare_terms_are_read_from_postings(spark, tables):
+    rare, common = (plan_of(catalogue.QUERIES[n](spark, DATA)) for n in ("rare_term", "common_term"))
+    assert "Or(EqualTo(term,apache),EqualTo(term,license))" in rare and "f0_values" not in rare
+    assert "array_contains(f0_values" in common and "term" not in common and "Exchange" not in common
+
+
+def test_ranges_of_single_numbers_are_pushed_down_and_compiled(spark, tables):
+    from postora.plans.ast import Range
+    from postora.plans.compiler import by_predicate
+
+    plan = plan_of(by_predicate(Range("n_chars", 500, 2000), catalogue._documents(spark, DATA)))
+    assert "GreaterThanOrEqual(f3_number,500)" in plan and "f3_numbers" not in plan and "*(1) Filter" in plan
+
+
 def test_default_plan_of_a_search_shuffles_nothing(spark, tables):
     plan = catalogue.QUERIES["nested_boolean"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "f0_values" in plan and "f0_positions" not in plan

@@ -58,6 +58,7 @@ def test_leaves_and_combinations(index, strategy):
 def test_old_snapshots(index):
     assert ids(Term("content", "a"), index, at=3) == [1, 2, 3]
     assert ids(MatchAll(), index, at=2) == [1, 2]
+    assert ids(Term("content", "a"), index, "frequency", at=3) == [1, 2, 3]
     assert [r[0] for r in snapshot.has_changes(index.docs, 3).orderBy("uid").collect()] == [1, 4]
 
 
@@ -97,6 +98,27 @@ def test_answers(spark, index):
         search.SearchRequest("", offset=-1)
 
 
+def test_partial_answers_in_time(index):
+    whole = search.search(index, search.SearchRequest("{'type':'MatchAllQuery'}", limit=3))
+    timed = search.SearchRequest("{'type':'MatchAllQuery'}", limit=3, qtime=600000, enforce_time=True)
+    answer = search.search(index, timed)
+    assert answer.complete and (answer.hits, answer.docs) == (whole.hits, whole.docs)
+    assert [r["doc_id"] for r in answer.results.collect()] == [r["doc_id"] for r in whole.results.collect()]
+    late = search.search(index, search.SearchRequest("{'type':'MatchAllQuery'}", qtime=0, enforce_time=True))
+    assert not late.complete and [r["doc_id"] for r in late.results.collect()] == [5] and late.hits == 1
+
+
+def test_strategy_by_frequency(index, monkeypatch):
+    from postora.plans import compiler
+
+    few = Term("content", "d")
+    assert compiler.is_rare(few, index) and not compiler.is_rare(MatchAll(), index)
+    monkeypatch.setattr(compiler, "ALWAYS_FEW", 1)
+    assert not compiler.is_rare(Term("content", "b"), index)
+    for node in (few, Term("content", "b"), Phrase("content", ("a", "b"), (0, 1)), Or(())):
+        assert ids(node, index, "frequency") == ids(node, index)
+
+
 def test_pages_join_to_the_whole(index):
     whole = [r["doc_id"] for r in search.page(search.matches(index, search.SearchRequest("{'type':'MatchAllQuery'}")), search.SearchRequest("", 0, 100)).collect()]
     parts = [r["doc_id"] for o in range(0, 6, 2) for r in search.page(search.matches(index, search.SearchRequest("{'type':'MatchAllQuery'}")), search.SearchRequest("", o, 2)).collect()]
