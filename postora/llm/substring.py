@@ -3,9 +3,10 @@
 Of a document's positions only those whose place modulo a period lies in a difference cover are anchored: a hash of
 the `size - period + 1` words from there. For any two places there is a shift below the period that brings both into
 the cover, so two equal windows of `size` words hold equal anchors at the same shift. Anchors that occur once are
-dropped. Those left are extended: the windows of `size` words that hold one are hashed (96 bits of two hashes of their
+dropped. Those left are extended: the windows of `size` words that hold one are hashed (88 bits of two hashes of their
 words, neither of which a regular structure of words can bring to collide), and windows whose hash occurs again are the
-repeats. Among 10**13 windows, two that differ share a hash at a chance of about one in a thousand.
+repeats. Among 10**12 windows two that differ share a hash at a chance of about one in 600. Anchors, which only say
+where to look, have 48 bits.
 
 Occurrences are counted in each map task before they are shuffled, a block at a time: what a block holds twice needs
 no answer, and only one row of it is sent, so that a passage in a third of all documents costs a row a block.
@@ -27,11 +28,12 @@ from postora.llm.frames import anonymous, free, in_small_batches, row_keys
 
 #: Occurrences a task holds before it counts and sends them.
 HELD = 1 << 20
-#: A row has the hash h of what stands at a place, the keys a and b of its document, and x: 32 bits of a second hash,
+#: A row has the hash h of what stands at a place, the keys a and b of its document, and x: 24 bits of a second hash,
 #: then the place. Without keys it says how many places of a block hold the same, their number in x. With _KNOWN in x
 #: the place is known to repeat. In this order and in the order of documents, rows take the least room in a shuffle.
 _SENT = "h long, x long, a long, b long"
 _KNOWN, _LOW = 1 << 31, (1 << 32) - 1
+_ANCHOR = np.uint64((1 << 48) - 1)
 
 
 def difference_cover(period: int) -> list[int]:
@@ -109,7 +111,7 @@ def _anchors(size: int, text: str):
             row, (a, b) = words.row_of(), _keys(batch)
             place = np.arange(len(words)) - words.first[row]
             starts = np.flatnonzero(cover[place % period] & (place + length <= words.counts()[row]) & (words.counts()[row] >= size))
-            h = tx.runs(words.hashes(), length)[starts]
+            h = tx.runs(words.hashes(), length)[starts] & _ANCHOR
             row = row[starts]
             yield h, np.zeros(len(h), np.uint32), a[row], b[row], place[starts].astype(np.int32)
 
@@ -133,7 +135,7 @@ def _extended(size: int, text: str):
             np.add.at(marks, high[good] + 1, -1)
             starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             row = words.row_of()[starts]
-            h, g = tx.runs(words.hashes(), size, 3)[starts], (tx.runs(words.hashes(4), size, 5)[starts] >> np.uint64(32)).astype(np.uint32)
+            h, g = tx.runs(words.hashes(), size, 3)[starts], (tx.runs(words.hashes(4), size, 5)[starts] >> np.uint64(40)).astype(np.uint32)
             yield h, g, a[row], b[row], (starts - words.first[row]).astype(np.int32)
 
     return lambda batches: _gathered(rows(batches))
