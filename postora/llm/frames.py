@@ -151,6 +151,8 @@ def with_sums_before(df: DataFrame, order: list[Column], amounts: dict[str, Colu
 
 #: Links that are joined at once.
 _HELD_LINKS = 1 << 20
+#: Links, 4 MB of them, that one task joins to the end once no more are left.
+_LAST_LINKS = 1 << 18
 
 
 def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,18 +191,30 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(held)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The root of each node of at most _LAST_LINKS links, roots included."""
+    held = [x for x in batches if x.num_rows]
+    if held:
+        nodes, roots = least_reached(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: longs a and b. Returns node and root, the smallest node that links reach, for each node of a link; the
     frame can be forgotten like one that was cut.
 
     Each task joins what links it has; then large-star and small-star steps in turn, each of which moves links toward
-    smaller nodes, until all links are stars. Nothing but a test of that comes to the driver. Least neighbours are
-    summed up before they are shuffled and stored, so that the joins with them read two plain exchanges, whose hot keys
-    Spark can split.
+    smaller nodes, until all links are stars or so few are left, by count, that one task joins them. Nothing but a count
+    and a test comes to the driver. Least neighbours are summed up before they are shuffled and stored, so that the
+    joins with them read two plain exchanges, whose hot keys Spark can split.
     """
     contracted = lambda df: cut(df.select("a", "b").mapInArrow(_contracted, "a long, b long"))
-    links = contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while True:
+        if links.count() <= _LAST_LINKS:
+            out = cut(links.coalesce(1).mapInArrow(_joined, "node long, root long"))
+            forget(links)
+            return out
         # stars: each node has one link downward, and none that is linked to has any
         ends = links.select(F.col("a").alias("k"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(links.select("b", F.lit(0), F.lit(1)))
         seen = ends.groupBy("k").agg(F.sum("down").alias("down"), F.max("up").alias("up"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postora.llm import decontaminate, licenses, minhash, mixing, quality, sharding, substring, tokens
+from postora.llm import decontaminate, frames, licenses, minhash, mixing, quality, sharding, substring, tokens
 from postora.llm import text as tx
 from postora.llm.frames import components, row_keys
 
@@ -119,7 +119,10 @@ def test_lists_find_pairs_just_at_the_threshold():
     assert missed == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [frames._LAST_LINKS, 60, 0])
+def test_components(spark, monkeypatch, last):
+    """With all links joined by one task, with some rounds before that, and with rounds to the end."""
+    monkeypatch.setattr(frames, "_LAST_LINKS", last)
     drawn = random.Random(1)
     edges = [(drawn.randrange(200), drawn.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)] + [(500, 500 + i) for i in range(50)]
     parent = {}
