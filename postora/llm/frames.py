@@ -113,6 +113,34 @@ def row_keys(id_column: str, text_column: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_column).cast("string").try_cast("long"), F.xxhash64(F.lit(1), *own)), F.xxhash64(F.lit(2), *reversed(own))
 
 
+#: Words of 64 bits that a filter of keys has at most, 8 MB of them, and keys of which it would hold back too little.
+_FILTER_WORDS, _FILTERED_KEYS = 1 << 20, 1 << 24
+
+
+def with_chance(df: DataFrame, own: Sequence[str], keys: DataFrame, out: str) -> DataFrame:
+    """df with `out`, which is false only where the longs `own` of a row, never null, are in no row of keys (stored, as
+    many longs), so that a join with keys need not shuffle such rows.
+
+    Each key sets three bits of one word of a filter, which is broadcast and never beyond _FILTER_WORDS; other rows pass
+    by chance, some hundredths of them at 2**22 keys. Beyond _FILTERED_KEYS keys `out` is true for all rows.
+    """
+    n = keys.count()
+    if n > _FILTERED_KEYS:
+        return df.withColumn(out, F.lit(True))
+    words = min(_FILTER_WORDS, 1 << max(10, (n // 4).bit_length()))
+
+    def spot(*key: str) -> tuple[Column, Column]:
+        drawn = F.xxhash64(F.lit(3), *key)
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(drawn, at).bitwiseAND(63).cast("int")) for at in (40, 46, 52)]
+        return drawn.bitwiseAND(F.lit(words - 1).cast("long")), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+    word, bits = spot(*keys.columns)
+    held = keys.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    word, bits = spot(*own)
+    passed = F.coalesce(F.col("_bits").bitwiseAND(bits) == bits, F.lit(False))
+    return df.join(F.broadcast(held), word == F.col("_word"), "left").select(*df.columns, passed.alias(out))
+
+
 def celled(df: DataFrame, group: str, order: str, cell: str, digits: int = 3) -> DataFrame:
     """df with `cell`, a string that is never null: the group, dealt into 16**digits parts by the first digits of
     `order`, a hexadecimal string. Cells of a group sort as its rows do by `order`."""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postora.llm import text as tx
-from postora.llm.frames import anonymous, bucketed, components, cut, forget, groups_of, in_small_batches, row_keys, tables
+from postora.llm.frames import anonymous, bucketed, components, cut, forget, groups_of, in_small_batches, row_keys, tables, with_chance
 
 K = 48
 #: Least hashes that a sketch's bitmap holds, and its words of 64 bits. Sets of up to so many are held whole.
@@ -183,8 +183,10 @@ def _run(percent: int) -> int:
 
 
 def _lists(nodes: DataFrame, percent: int, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """v, node, weight: the inverted lists, by runs of values, that more than one node is in, and how long those of a
-    node are together."""
+    """v, node, n, weight: the inverted lists, by runs of values, that more than one node is in, the sizes of nodes, and
+    how long the lists of a node are together. Of lists with the same members one is kept, by count and 128 bits of
+    hash, as copies share runs all along their sketches; it counts as long as all of them.
+    """
     held = F.size("sketch")
 
     def runs(length: int) -> Column:
@@ -194,8 +196,13 @@ def _lists(nodes: DataFrame, percent: int, own: Callable[[DataFrame], DataFrame]
     listed = nodes.select("node", F.explode(F.array_distinct(F.concat(*map(runs, range(1, _run(percent) + 1))))).alias("v"))
     # sums are stored before they are joined, so that Spark can split the hot keys of what they are joined with
     common = own(listed.groupBy("v").agg(F.count("*").alias("many")).where("many > 1"))
-    kept = own(listed.join(common, "v").select("v", "node", "many"))
-    return own(kept.join(own(kept.groupBy("node").agg(F.sum("many").alias("weight"))), "node").select("v", "node", "weight"))
+    kept = own(listed.join(common, "v").select("v", "node"))
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"members{i}") for i in (1, 2)]
+    alike = kept.groupBy("v").agg(F.count("*").alias("many"), *members).groupBy("many", "members1", "members2")
+    one_of_each = own(alike.agg(F.min("v").alias("v"), (F.col("many") * F.count("*")).alias("long")).select("v", "long"))
+    kept = own(kept.join(one_of_each, "v").select("v", "node", "long"))
+    weights = own(kept.groupBy("node").agg(F.sum("long").alias("weight")).join(nodes.select("node", "n"), "node"))
+    return own(kept.join(weights, "node").select("v", "node", "n", "weight"))
 
 
 def _families(pairs: DataFrame, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -216,13 +223,13 @@ def _links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, size: int, perc
     found: list[DataFrame] = []
     roots, before = None, None
     for turn in range(ROUNDS + 1):
-        tagged = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").select("v", "node", "weight", F.coalesce("root", "node").alias("root"))
+        tagged = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").select("v", "node", "n", "weight", F.coalesce("root", "node").alias("root"))
         # first the member that stands in the longest lists; then any of the largest class
         rank = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        groups = tagged.groupBy("v", "root").agg(F.count("*").alias("c"), F.max(F.struct(rank.alias("rank"), "node")).alias("one"))
-        most = F.max(F.struct((F.col("c") if turn else F.col("one.rank")).alias("by"), F.col("one.node").alias("node"), "root"))
+        groups = tagged.groupBy("v", "root").agg(F.count("*").alias("c"), F.max(F.struct(rank.alias("rank"), "node", "n")).alias("one"))
+        most = F.max(F.struct((F.col("c") if turn else F.col("one.rank")).alias("by"), F.col("one.node").alias("node"), "root", F.col("one.n").alias("n")))
         groups = groups.groupBy("v").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), most.alias("most"))
-        apart = own(groups.where("m * m > q").select("v", "m", F.col("most.root").alias("pivot_root"), F.col("most.node").alias("pivot"), (F.col("m") * F.col("m") - F.col("q")).alias("cross")))
+        apart = own(groups.where("m * m > q").select("v", "m", F.col("most.root").alias("pivot_root"), F.col("most.node").alias("pivot"), F.col("most.n").alias("pivot_n"), (F.col("m") * F.col("m") - F.col("q")).alias("cross")))
         cross, rows = apart.agg(F.coalesce(F.sum("cross"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if not cross:
             break
@@ -232,13 +239,16 @@ def _links(nodes: DataFrame, lists: DataFrame, texts: DataFrame, size: int, perc
         before = cross
         if last:
             members = own(members.select("v", "node", "root", F.ceil(F.col("m") / LISTED).cast("int").alias("parts")))
-            every = own(members.groupBy("node").agg(F.collect_list("v").alias("every")).join(nodes, "node"))
+            every = own(members.groupBy("node").agg(F.collect_list("v").alias("every")))
+            every = own(every.join(with_chance(nodes, ["node"], every.select("node"), "_chance").where("_chance").drop("_chance"), "node"))
             placed = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             placed = placed.select("v", "node", "root", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
             blocks = placed.join(every, "node").repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
             keyed = _families(blocks.mapInArrow(_listed_pairs(percent), "a long, b long"), own)
         else:
-            pairs = members.where("root <> pivot_root").groupBy("pivot", "node").agg(F.max("m").alias("m"))
+            # sets of other sizes than the threshold allows need no comparison
+            sized = F.least("n", "pivot_n").cast("long") * 100 >= F.greatest("n", "pivot_n").cast("long") * percent
+            pairs = members.where((F.col("root") != F.col("pivot_root")) & sized).groupBy("pivot", "node").agg(F.max("m").alias("m"))
             part = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))
             keyed = pairs.select(F.col("pivot").alias("k1"), part.alias("k2"), F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
         found.append(own(_similar(own(keyed), texts, size, percent)))
@@ -272,7 +282,8 @@ def _classes(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -
         nodes = nodes.join(own(several), F.col("id") == F.col("again"), "left").withColumn("node", named).drop("again")
         lists = _lists(nodes, percent, own)
         listed = own(nodes.select("node", "a", "b").join(lists.select("node").distinct(), "node", "left_semi"))
-        wanted = keyed.join(listed, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b"))).select("_a", "_b", "node", F.col("_text").alias("text"))
+        # texts of nodes in no list are not shuffled
+        wanted = with_chance(keyed, ["_a", "_b"], listed.select("a", "b"), "_chance").where("_chance").join(listed, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b"))).select("_a", "_b", "node", F.col("_text").alias("text"))
         # bucketed by node, so that joins with it move the other side only
         with bucketed(wanted.dropDuplicates(["_a", "_b"]).select("node", "text"), "node") as texts:
             links = _links(nodes.select("node", "n", "map"), lists, texts, shingle, percent, own)

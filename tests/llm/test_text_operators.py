@@ -217,6 +217,49 @@ def test_a_family_of_edited_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, c in brute_classes(rows, 2, 80) if d == c)
 
 
+def test_copies_share_one_list(spark):
+    """Two texts that differ in a word have many runs in common, and one list."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join([*words[:-1], "edited"])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id id", "text", "0L _a", "0L _b")
+    with frames.tables() as own:
+        nodes = own(frame.mapInArrow(minhash._sketches(2, "text", "id", minhash.K), minhash._SKETCHED).withColumnRenamed("id", "node"))
+        found = minhash._lists(nodes, 80, own).collect()
+    assert sorted(r["node"] for r in found) == [0, 1]
+    assert len({r["v"] for r in found}) == 1
+
+
+def test_a_filter_of_keys_lets_every_key_pass(spark, monkeypatch):
+    keys = spark.range(0, 30000, 3).selectExpr("id a", "-id b")
+    rows = spark.range(30000).selectExpr("id c0", "-id c1")
+    passed = [r["c0"] for r in frames.with_chance(rows, ["c0", "c1"], keys, "chance").where("chance").collect()]
+    assert set(range(0, 30000, 3)) <= set(passed) and len(passed) < 10400
+    assert frames.with_chance(rows, ["c0", "c1"], keys.limit(0), "chance").where("chance").count() == 0
+    monkeypatch.setattr(frames, "_FILTERED_KEYS", 9999)
+    assert frames.with_chance(rows, ["c0", "c1"], keys, "chance").where("chance").count() == 30000
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_only_texts_in_lists_are_fetched(spark, monkeypatch, words):
+    """However full the filter, the classes are the same; with room in it, texts without a list are held back."""
+    monkeypatch.setattr(frames, "_FILTER_WORDS", words)
+    held, whole = [], frames.with_chance
+
+    def counted(*given):
+        out = whole(*given)
+        held.append((given[1], given[0].count(), out.where("_chance").count()))
+        return out
+
+    monkeypatch.setattr(minhash, "with_chance", counted)
+    drawn = random.Random(2)
+    rows = [(i, " ".join(f"w{drawn.randrange(10**6)}" for _ in range(40))) for i in range(60)]
+    rows += [(100 + i, f"{t} more") for i, t in rows[:4]]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert sorted((r["doc_id"], r["near_shingles"], r["near_component"]) for r in found) == sorted(brute_classes(rows, 2, 80))
+    texts = next(h for h in held if h[0] == ["_a", "_b"])
+    assert texts[1] == 64 and 8 <= texts[2] <= (12 if words > 1 else 64)
+
+
 def test_licenses(spark):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0."),
