@@ -319,4 +319,7 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     forget(found)
     plain, names = anonymous(docs)
     a, b = row_keys(names[key], names[text])
-    return plain.join(gone.toDF("_ka", "_kb"), (a == F.col("_ka")) & (b == F.col("_kb")), "left_anti").toDF(*docs.columns)
+    # rows that surely stay are not shuffled
+    plain = with_chance(plain.withColumn("_a", a).withColumn("_b", b), ["_a", "_b"], gone, "_chance")
+    rest = plain.where("_chance").join(gone.toDF("_ka", "_kb"), (F.col("_a") == F.col("_ka")) & (F.col("_b") == F.col("_kb")), "left_anti")
+    return plain.where("not _chance").union(rest).select(*names.values()).toDF(*docs.columns)

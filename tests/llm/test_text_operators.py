@@ -260,6 +260,26 @@ def test_only_texts_in_lists_are_fetched(spark, monkeypatch, words):
     assert texts[1] == 64 and 8 <= texts[2] <= (12 if words > 1 else 64)
 
 
+def test_rows_that_stay_are_not_shuffled(spark, monkeypatch):
+    """Of rows with columns of their own only those that may go are joined with what goes."""
+    held, whole = [], frames.with_chance
+
+    def counted(*given):
+        out = whole(*given)
+        held.append((given[0].columns, out.where("_chance").count()))
+        return out
+
+    monkeypatch.setattr(minhash, "with_chance", counted)
+    drawn = random.Random(5)
+    rows = [(i, " ".join(f"w{drawn.randrange(10**6)}" for _ in range(40)), "x") for i in range(50)]
+    rows += [(100, rows[0][1], "y"), (100, rows[0][1], "z"), (101, f"{rows[1][1]} more", "y"), (None, rows[0][1], "y"), (None, None, "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _chance string")
+    kept = minhash.without_near_duplicates(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted((r for r in rows if r[0] not in (100, 101)), key=repr)
+    assert held[-1][0][:3] == ["c0", "c1", "c2"] and 3 <= held[-1][1] <= 6
+
+
 def test_licenses(spark):
     rows = [
         (1, "Licensed under the Apache License, Version 2.0."),
